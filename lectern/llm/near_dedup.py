@@ -15,7 +15,11 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.llm import textvec
 from lectern.llm.common import join_checked, written
 
-WORDS, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 16, 2
+#: Five k-mers a sketch and 32 sketches: two texts that share a fifth of their k-mers (a common passage) meet in one
+#: of 100 cases, two at the threshold are missed in 3 of a million.
+WORDS, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 32, 5
+#: Members as near as this to their centre are compared by what sets them apart from it.
+NEAR = 0.5
 _U = np.uint64
 _SEEDS = textvec.mix(np.arange(1, 65, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)
 
@@ -157,24 +161,48 @@ def sketch(documents: DataFrame, k: int = WORDS, sketches: int = SKETCHES, kept:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, d1 long, d2 long, n_kmers long, sketches array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """Those of pairs (a, b) whose texts (id, text) are similar. Both texts are joined by shuffles that split hot ids."""
+def labelled(kmers: np.ndarray) -> np.ndarray:
+    """A multiset's elements as a sorted set: each k-mer with its occurrence number."""
+    return np.sort(textvec.mix(kmers + occurrences(kmers).astype(_U) * _U(0x9FB21C651E98DF25)))
+
+
+def compare(pairs: DataFrame, documents: DataFrame, k: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """a, b, linked, jaccard, n_a, n_b, lost, diff for each of pairs (a, b).
+
+    linked: the alignment reaches `least`. jaccard: of the k-mers as multisets, at least as large. lost: how many of
+    b's a lacks; diff: what only one of the two has, where jaccard is at least NEAR. Both texts are joined by
+    shuffles that split hot ids.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("jaccard", pa.float64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("lost", pa.int64()), ("diff", pa.list_(pa.int64()))])
+
+    def one(x, y):
+        p, q = labelled(x), labelled(y)
+        common = np.intersect1d(p, q, assume_unique=True)
+        j = len(common) / max(1, len(p) + len(q) - len(common)) if len(p) or len(q) else 1.0
+        diff = np.setxor1d(p, q, assume_unique=True).view(np.int64).tolist() if j >= NEAR else []
+        return similarity(x, y, least) > 0, j, len(p), len(q), len(q) - len(common), diff
 
     def run(batches):
         for b in batches:
-            at = 0
+            at, size = 0, 0
             for i in range(b.num_rows + 1):
-                if i == b.num_rows or i - at >= 256:
+                if i == b.num_rows or size > 1 << 20:
                     part = b.slice(at, i - at)
                     if part.num_rows:
                         x = _kmers([t.as_buffer().to_pybytes() for t in part.column(2)], k)
                         y = _kmers([t.as_buffer().to_pybytes() for t in part.column(3)], k)
-                        keep = pa.array([similarity(p, q, least) > 0 for p, q in zip(x, y)])
-                        yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
-                    at = i
+                        cols = zip(*[one(u, v) for u, v in zip(x, y)])
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(cols, schema.types[2:])]], schema=schema)
+                    at, size = i, 0
+                if i < b.num_rows:
+                    size += len(b.column(2)[i].as_buffer()) + len(b.column(3)[i].as_buffer())
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    own = documents.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # only texts of candidates go on; rows that share a doc_id are one document
+    own = written(join_checked(own, ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "pair-texts")
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, jaccard double, n_a long, n_b long, lost long, diff array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,24 +234,36 @@ def classes(documents: DataFrame, k: int = WORDS, least: float = SIMILARITY, ske
     rows = written(sketch(documents, k, sketches, kept), "sketches")
     known = rows.where("doc_id is not null")
     exact = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_kmers").alias("n"), F.first("sketches").alias("sketches")), "distinct-texts")
-    bucket = written(exact.select("rep", "n", F.posexplode("sketches").alias("j", "h")), "buckets")
-    # 1: everyone against the smallest of its bucket
-    centre = bucket.groupBy("j", "h").agg(F.min("rep").alias("c"), F.count("*").alias("many")).where("many > 1")
-    star = bucket.join(centre, ["j", "h"]).where("rep != c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
-    star = written(star, "star-pairs")
-    # a text is fetched only for a document that stands for its copies
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    links = written(verify(star, texts, k, least), "links")
+    bucket = exact.select("rep", "n", F.posexplode("sketches").alias("j", "h"))
+    many = bucket.groupBy("j", "h").agg(F.count("*").alias("many")).where("many > 1")
+    bucket = written(bucket.join(many, ["j", "h"]), "buckets")
+    # 1: everyone against the centre of its bucket: the member with most company, likely the text that the rest vary
+    company = bucket.groupBy("rep").agg(F.sum("many").alias("company"))
+    centre = bucket.join(company, "rep").groupBy("j", "h").agg(F.max(F.struct("company", (-F.col("rep")).alias("low"))).alias("top"))
+    bucket = written(bucket.join(centre.select("j", "h", (-F.col("top.low")).alias("c")), ["j", "h"]).select("j", "h", "rep", "n", "c"), "buckets")
+    star = written(compare(bucket.where("rep != c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct(), documents, k, least), "star")
+    links = star.where("linked").select("a", "b")
     root = written(components(links), "roots")
-    # 2: members of a bucket that are still apart, each against each of another component, if their lengths allow it
-    open_ = bucket.join(centre.select("j", "h"), ["j", "h"]).join(root, bucket.rep == root.id, "left").select("j", "h", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    apart = open_.groupBy("j", "h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("j", "h")
-    rest = written(open_.join(apart, ["j", "h"]), "apart")
-    x, y = rest.alias("x"), rest.alias("y")
-    near = (F.col("x.root") != F.col("y.root")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.n") >= least * F.col("y.n")) & (F.col("y.n") >= least * F.col("x.n"))
-    cross = x.join(y, (F.col("x.j") == F.col("y.j")) & (F.col("x.h") == F.col("y.h")) & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    cross = written(cross.join(star, ["a", "b"], "left_anti"), "cross-pairs")
-    more = written(verify(cross, texts, k, least), "links")
+    # 2: a centre's members that are still apart. By way of the centre their common k-mers are counted without a look
+    # at the texts: what both share with it, and what both have or lack unlike it.
+    near = star.where(F.col("jaccard") >= NEAR).join(root, star.a == root.id, "left").select("a", "b", "n_a", "n_b", "lost", "diff", F.coalesce("root", "a").alias("root"))
+    split = near.groupBy("b").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("b")
+    near = written(near.join(split, "b"), "near")
+    x, y = near.alias("x"), near.alias("y")
+    bound = F.lit(least / (1 + least)) * (F.col("x.n_a") + F.col("y.n_a")) - 1e-9
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.a") > F.col("y.a")) & (F.least("x.n_a", "y.n_a") >= bound)
+    common = F.col("x.n_b") - F.col("x.lost") - F.col("y.lost") + F.size(F.array_intersect("x.diff", "y.diff"))
+    varied = x.join(y, (F.col("x.b") == F.col("y.b")) & apart & (common >= bound)).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
+    # 3: members of a bucket of which one is far from the centre: those whose distances to it differ no more than theirs may
+    place = bucket.join(star.select(F.col("a").alias("rep"), F.col("b").alias("c"), "jaccard"), ["rep", "c"], "left").join(root, bucket.rep == root.id, "left")
+    place = place.select("j", "h", "rep", "n", F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"), F.coalesce("root", "rep").alias("root"))
+    split = place.groupBy("j", "h").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("jaccard").alias("least")).where((F.col("r1") != F.col("r2")) & (F.col("least") < NEAR)).select("j", "h")
+    place = written(place.join(split, ["j", "h"]), "far")
+    x, y = place.alias("x"), place.alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.n") >= least * F.col("y.n")) & (F.col("y.n") >= least * F.col("x.n"))
+    apart = apart & (F.abs(F.col("x.jaccard") - F.col("y.jaccard")) <= 1 - least + 1e-9) & (F.least("x.jaccard", "y.jaccard") < NEAR)
+    far = x.join(y, (F.col("x.j") == F.col("y.j")) & (F.col("x.h") == F.col("y.h")) & apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    more = written(compare(written(varied.union(far).distinct(), "apart"), documents, k, least).where("linked").select("a", "b"), "links")
     if not more.isEmpty():
         root = written(components(links.union(more)), "roots")
     member = known.select("doc_id", "d1", "d2").join(exact.select("d1", "d2", "rep"), ["d1", "d2"])
