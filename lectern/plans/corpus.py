@@ -1,6 +1,317 @@
-"""Registered queries of the corpus operators and their SQL."""
+"""Registered queries of the corpus operators over the driver's tables, and their SQL.
+
+Documents stand for units and their source for the work; markers are made by one expression in both engines.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession, Window as W, functions as F
+
+from lectern.functions import text as T
+from lectern.operators import align, assemble, reader, search, sections, stats
+from lectern.sources import text as source_text
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _indexed(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("work"), F.col("doc_id").alias("i"), T.norm_cn(F.col("text"), compose=False).alias("ncn"), T.norm_ko(F.col("text"), compose=False).alias("nko"))
+
+
+_DROP = r"[\s。，、．・？！：；「」『』（）()〔〕【】\[\]“”‘’·…—　]"
+
+
+def _norm_sql(c: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({c}, '\[(\d{{3,4}}[abc]\d{{2}})\]', '', 'g'), '\[(?:\d{{1,3}}|＊|\*)\]', '', 'g'), '{_DROP}', '', 'g')"
+
+
+_FOLDED = f"translate({_norm_sql('text')}, '{T.FOLD_FROM}', '{T.FOLD_TO}')"
+
+
+@query("SELECT w.source AS work, CAST(count(d.doc_id) AS BIGINT) AS n FROM (SELECT DISTINCT source FROM documents) w LEFT JOIN documents d ON d.source = w.source AND contains(regexp_replace(lower(d.text), '\\s', '', 'g'), 'erththe') GROUP BY w.source")
+def search_counts_zero_filled(spark, sf_dir):
+    ix = _indexed(spark, sf_dir)
+    found = ix.where(search.side_of(F.col("ncn"), F.col("nko"), "", "erththe", "ko").isNotNull()).groupBy("work").count()
+    works = ix.select("work").distinct()
+    return works.join(found, "work", "left").select("work", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
+
+
+@query(f"SELECT source AS work, doc_id AS i, CASE WHEN contains({_FOLDED}, 'Thein') THEN 'cn' ELSE 'ko' END AS side FROM documents WHERE contains({_FOLDED}, 'Thein') OR contains(regexp_replace(lower(text), '\\s', '', 'g'), 'thein')")
+def search_hits(spark, sf_dir):
+    ix = _indexed(spark, sf_dir).withColumn("side", search.side_of(F.col("ncn"), F.col("nko"), "Thein", "thein"))
+    return ix.where("side is not null").select("work", "i", "side")
+
+
+@query("WITH c AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN text END, chr(10) ORDER BY turn, text) AS u, string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY turn, text) AS a FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN contains(u, 'the') THEN 'cn' WHEN contains(a, 'the') THEN 'ko' END AS side FROM c WHERE contains(u, 'the') OR contains(a, 'the')")
+def search_scoped_precedence(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), "\n")
+    c = c.groupBy("conv_id").agg(said("user").alias("u"), said("assistant").alias("a"))
+    return c.withColumn("side", search.side_of(F.col("u"), F.col("a"), "the", "the")).where("side is not null").select("conv_id", "side")
+
+
+@query("SELECT source AS work, CAST(count(*) AS BIGINT) AS n FROM documents WHERE contains(text, 'tion') GROUP BY ROLLUP (source)")
+def facet_rollup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.col("text").contains("tion")).groupBy("source").count()
+    return search.facets(d.select(F.col("source").alias("work"), F.col("count").alias("n"), F.dense_rank().over(W.orderBy("source")).alias("ord"))).select("work", F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT source AS work, doc_id AS i FROM documents WHERE contains(text, 'tion') ORDER BY source, doc_id LIMIT 10 OFFSET 20")
+def hit_paging(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.col("text").contains("tion")).select(F.col("source").alias("work"), F.col("doc_id").alias("i"), F.lit(0).alias("ord"))
+    return search.page(d, 3, 10).select("work", "i")
+
+
+@query("SELECT doc_id, substr(text, greatest(1, p - 34), p - greatest(1, p - 34)) AS pre, substr(text, p, 5) AS hit, substr(text, p + 5, 34) AS post FROM (SELECT doc_id, text, instr(text, 'tione') AS p FROM documents) WHERE p > 0")
+def kwic_first(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("p", F.instr("text", "tione")).where("p > 0")
+    a = F.greatest(F.lit(1), F.col("p") - 34)
+    return d.select("doc_id", F.substring("text", a, F.col("p") - a).alias("pre"), F.substring("text", F.col("p"), F.lit(5)).alias("hit"), F.substring("text", F.col("p") + 5, F.lit(34)).alias("post"))
+
+
+@query()
+def ranges_all(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.lower("text").contains("tione"))
+    return d.select("doc_id", F.transform(T.find_ranges(F.col("text"), F.lit("tione"), "ko"), lambda r: F.concat_ws("-", r["start"], r["end"])).alias("ranges"))
+
+
+@query(f"SELECT s, translate(s, '{T.FOLD_FROM}', '{T.FOLD_TO}') AS folded FROM (VALUES ('衆生无与体'), ('観观觉'), ('abc'), ('淨净凈')) t(s)")
+def fold_translate(spark, sf_dir):
+    return spark.createDataFrame([("衆生无与体",), ("観观觉",), ("abc",), ("淨净凈",)], "s string").select("s", T.fold(F.col("s")).alias("folded"))
+
+
+@query(f"SELECT doc_id, {_FOLDED} AS norm FROM documents")
+def norm_strip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.norm_cn(F.col("text"), compose=False).alias("norm"))
+
+
+@query(r"SELECT doc_id, CASE WHEN l = 0 THEN 0.0 ELSE h / l END AS ratio, false AS source_like FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\p{L}')) AS DOUBLE) AS l, CAST(len(regexp_extract_all(text, '[\x{ac00}-\x{d7a3}]')) AS DOUBLE) AS h FROM documents)")
+def script_ratio(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.hangul_ratio(F.col("text")).alias("ratio"), T.is_source_line(F.col("text")).alias("source_like"))
+
+
+_VALUES = [("문단 3 주", 1), ("한국어 번역", 2), ("[0123a04] 본문", 3), ("A. 편집 안내", 4), ("제1장 서론", 5), ("12. 항목", 6), ("부록", 7)]
+
+
+@query(
+    "SELECT id, s, CASE WHEN regexp_matches(trim(s), '(?:^|\\s)(?:주|주석|각주|교감)$') THEN 'note' WHEN trim(s) IN ('원문','원문 목차','한국어 목차','한국어 직역','한국어 번역','번역','직역') THEN 'label' "
+    "WHEN regexp_matches(trim(s), '^(?:문단\\s*\\d+|\\d{2,4}\\.\\s|권두\\s*표제|\\[\\d{3,4}[abc]\\d{2}\\])') THEN 'unit' WHEN regexp_matches(trim(s), '^[A-Z]\\.\\s|편집|안내|부록') THEN 'apparatus' ELSE 'structure' END AS kind "
+    "FROM (VALUES " + ", ".join(f"({i}, '{s}')" for s, i in _VALUES) + ") t(id, s)"
+)
+def heading_classify(spark, sf_dir):
+    return spark.createDataFrame([(i, s) for s, i in _VALUES], "id int, s string").select("id", "s", T.classify_head(F.col("s")).alias("kind"))
+
+
+def _marked(text):
+    """A text whose lines carry made-up markers."""
+    lines = F.split(text, "\n")
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("["), F.lpad((i + 100).cast("string"), 4, "0"), F.lit("a01]"), x)), " ")
+
+
+_MARKED = "list_aggregate(list_transform(generate_series(1, len(string_split(text, chr(10)))), lambda i: '[' || lpad(CAST(i + 99 AS VARCHAR), 4, '0') || 'a01]' || string_split(text, chr(10))[i]), 'string_agg', ' ')"
+
+
+@query(
+    f"WITH p AS (SELECT doc_id, generate_subscripts(x, 1) AS k, unnest(x) AS piece FROM (SELECT doc_id, string_split(regexp_replace({_MARKED}, '(\\[\\d{{3,4}}[abc]\\d{{2}}\\])', chr(1) || '\\1', 'g'), chr(1)) AS x FROM documents)) "
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, regexp_extract(piece, '^\\[(\\d{3,4}[abc]\\d{2})\\]', 1) AS m, CAST(length(trim(regexp_replace(piece, '[ \\t]+', ' ', 'g'))) AS BIGINT) AS n FROM p WHERE trim(piece) <> ''"
+)
+def split_units(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", _marked(F.col("text")).alias("text"))
+    u = source_text.segment(d, "doc_id")
+    return u.select("doc_id", F.col("i").cast("long").alias("i"), "m", F.length("cn").cast("long").alias("n"))
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events")
+def carry_forward(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("carried"))
+
+
+_KINDS = "CASE event_type WHEN 'view' THEN 'cn' WHEN 'click' THEN 'ko' WHEN 'purchase' THEN 'structure' ELSE 'note' END"
+
+
+@query(
+    f"WITH b AS (SELECT user_id, event_id, ts, {_KINDS} AS k FROM events), "
+    "p AS (SELECT *, lag(k) OVER w AS pk, max(CASE WHEN k = 'cn' THEN 1 END) OVER w AS open FROM b WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "q AS (SELECT *, sum(CASE WHEN k = 'cn' AND coalesce(pk, '') <> 'cn' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS u FROM p) "
+    "SELECT user_id, CAST(u AS BIGINT) AS u, CAST(count(*) FILTER (k = 'cn') AS BIGINT) AS n_cn, CAST(count(*) FILTER (k = 'ko') AS BIGINT) AS n_ko, CAST(count(*) FILTER (k = 'note') AS BIGINT) AS n_nt FROM q WHERE u >= 0 GROUP BY user_id, u"
+)
+def assemble_units(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "view", "cn").when(F.col("event_type") == "click", "ko").when(F.col("event_type") == "purchase", "head").otherwise("note")
+    b = e.select("user_id", "ts", "event_id", kind.alias("kind"), F.when(kind == "head", "structure").alias("hkind"), F.col("event_type").alias("text"), F.lit(1).alias("lv"), F.lit(None).cast("string").alias("m"), F.lit(None).cast("string").alias("head"))
+    u = assemble.units(b, "user_id", ("ts", "event_id"))
+    size = lambda c: F.size(c).cast("long")
+    return u.select("user_id", F.col("u").cast("long").alias("u"), size("cn").alias("n_cn"), size("ko").alias("n_ko"), size("nt").alias("n_nt"))
+
+
+@query("SELECT o.o_orderkey, c.start AS chapter FROM orders o ASOF LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS start FROM orders GROUP BY o_custkey, o_orderkey // 1000) c ON o.o_custkey = c.o_custkey AND o.o_orderkey >= c.start")
+def chapters_asof(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("work"), F.col("o_orderkey").alias("i"))
+    # units count from 1, chapters from 0
+    c = o.groupBy("work", F.floor(F.col("i") / 1000)).agg(F.min("i").alias("start")).select("work", (F.col("start") - 1).alias("i"))
+    u = sections.assign(o, c)
+    ranked = c.withColumn("c", F.row_number().over(W.partitionBy("work").orderBy("i")) - 1)
+    return u.join(ranked.select("work", "c", (F.col("i") + 1).alias("chapter")), ["work", "c"], "left").select(F.col("i").alias("o_orderkey"), "chapter")
+
+
+@query("SELECT e.event_id, (SELECT min(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id >= e.event_id) AS place FROM events e WHERE e.event_type = 'signup' AND EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id >= e.event_id)")
+def section_forward_fill(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    s = e.where("event_type = 'signup'").select(F.col("user_id").alias("work"), F.col("event_id").alias("i"), F.lit(1).alias("lv"), F.col("event_id").cast("string").alias("t"))
+    p = e.where("event_type = 'purchase'").select(F.col("user_id").alias("work"), F.col("event_id").alias("old"), F.col("event_id").alias("new"))
+    return align.section_places(s, p).select(F.col("t").cast("long").alias("event_id"), F.col("i").alias("place"))
+
+
+@query(f"WITH k AS (SELECT doc_id, substr({_FOLDED}, 1, 14) AS key FROM documents) SELECT key, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM k GROUP BY key HAVING count(*) > 1")
+def fingerprint_groups(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(T.norm_cn(F.col("text"), compose=False), 1, T.HEAD_KEY).alias("key"))
+    return d.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT b.item_id, d.doc_id, CAST(instr(d.text, substr(b.text, 1, 24)) AS BIGINT) AS at FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 24))")
+def passage_locate(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 24).alias("needle"))
+    # an equal needle needs an equal first word group: candidates by the needle's place in a split text would be
+    # longer than the scan, so the needles, few and short, go to every task
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.join(F.broadcast(b), F.col("text").contains(F.col("needle"))).select("item_id", "doc_id", F.instr(F.col("text"), F.col("needle")).cast("long").alias("at"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_discover(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT c.c_custkey AS work, coalesce(c.c_mktsegment, 'none') AS segment, coalesce(n.n_name, '?') AS canon FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey")
+def overlay_left_join(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    s = c.select(F.col("c_custkey").alias("work"))
+    meta = c.select(F.col("c_custkey").alias("work"), F.col("c_mktsegment").alias("segment"))
+    reg = c.select(F.col("c_custkey").alias("work"), F.col("n_name").alias("canon"))
+    return stats.overlay(s, meta, reg, {"segment": "none", "canon": "?"}).select("work", "segment", "canon")
+
+
+@query("SELECT coalesce(CAST(l.quality AS VARCHAR), 'none') AS source, CAST(count(*) AS BIGINT) AS n FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS DISTINCT FROM 1 GROUP BY 1")
+def rights_flag(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    works = d.select(F.col("doc_id").alias("id"), F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("source"))
+    rights = works.select("source").distinct().select("source", F.when(F.col("source") != "none", F.col("source") == "1").alias("ok"))
+    return stats.rights_flags(works, rights).select("source", F.size("ids").cast("long").alias("n"))
+
+
+_TOGETHER = "SELECT d.source AS work, l.doc_id IS NOT NULL AS done, length(regexp_replace(d.text, '\\s', '', 'g')) AS n FROM documents d LEFT JOIN labels l USING (doc_id)"
+
+
+def _units(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.lit("k").alias("k")), "doc_id", "left")
+    none = F.array().cast("array<string>")
+    marker = F.concat(F.lpad(F.col("doc_id").cast("string"), 4, "0"), F.lit("a01"))
+    return d.select(F.col("source").alias("work"), F.col("doc_id").alias("i"), marker.alias("m"), F.array("text").alias("cn"), F.when(F.col("k").isNotNull(), F.array("k")).otherwise(none).alias("ko"), F.lit(None).cast("int").alias("x"))
+
+
+def _stats(spark, sf_dir):
+    return stats.work_stats(_units(spark, sf_dir), lambda c: F.length(F.regexp_replace(c, r"\s", "")))
+
+
+@query(f"SELECT work, CAST(count(*) AS BIGINT) AS units, CAST(count(*) FILTER (done) AS BIGINT) AS translated, round_even(CASE WHEN sum(n) > 0 THEN CAST(coalesce(sum(n) FILTER (done), 0) AS DOUBLE) / sum(n) ELSE 0 END, 4) AS coverage, CAST(sum(n) AS BIGINT) AS chars_cn FROM ({_TOGETHER}) GROUP BY work")
+def work_stats(spark, sf_dir):
+    return _stats(spark, sf_dir).select("work", "units", "translated", "coverage", "chars_cn")
+
+
+@query(f"SELECT CAST(count(DISTINCT work) AS BIGINT) AS works, CAST(count(*) AS BIGINT) AS units, CAST(count(*) FILTER (done) AS BIGINT) AS translated, CAST(sum(n) AS BIGINT) AS chars_cn FROM ({_TOGETHER})")
+def catalogue_totals(spark, sf_dir):
+    return stats.totals(_stats(spark, sf_dir))
+
+
+@query("SELECT source AS work, min(lpad(CAST(doc_id AS VARCHAR), 4, '0') || 'a01') AS range_first, max(lpad(CAST(doc_id AS VARCHAR), 4, '0') || 'a01') AS range_last FROM documents GROUP BY source")
+def marker_range(spark, sf_dir):
+    return _stats(spark, sf_dir).select("work", "range_first", "range_last")
+
+
+@query("SELECT l_orderkey, CAST(v AS DOUBLE) AS median FROM (SELECT l_orderkey, l_quantity AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE r = n // 2 + 1")
+def upper_median(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(stats.upper_median(F.col("l_quantity")).alias("median"))
+
+
+@query("SELECT r_name AS work, CAST(row_number() OVER (ORDER BY CASE r_name WHEN 'T' THEN 0 ELSE 9 END, r_regionkey) AS BIGINT) AS place FROM region")
+def canon_sort_rank(spark, sf_dir):
+    r = table(spark, sf_dir, "region").select(F.col("r_name").alias("work"), F.col("r_name").alias("canon_id"), F.lit(None).cast("int").alias("canon_vol"), F.lit(None).cast("int").alias("canon_no"), F.col("r_regionkey").alias("ord"))
+    w = W.orderBy(*stats.canon_key(F.col("canon_id"), F.col("canon_vol"), F.col("canon_no")), "ord")
+    return r.select("work", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("WITH s AS (SELECT conv_id AS work, turn AS i, min(role) AS t FROM conversations GROUP BY conv_id, turn) SELECT work, i, t, CAST(coalesce(lead(i) OVER (PARTITION BY work ORDER BY i), n) - i AS BIGINT) AS units FROM s JOIN (SELECT conv_id AS work, max(turn) + 1 AS n FROM conversations GROUP BY conv_id) USING (work)")
+def section_dedupe_lead(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    n = c.groupBy(F.col("conv_id").alias("work")).agg((F.max("turn") + 1).alias("n"))
+    s = sections.clean(c.select(F.col("conv_id").alias("work"), F.col("turn").alias("i"), F.lit(1).alias("lv"), F.col("role").alias("t")), n)
+    return sections.chapter_sizes(s, n).select("work", "i", "t", F.col("units").cast("long").alias("units"))
+
+
+_PARTS = "SELECT p_brand AS work, p_partkey AS i, p_size AS lv, p_name AS t FROM part"
+
+
+@query("WITH n AS (SELECT p_brand AS work, count(*) AS n FROM part GROUP BY 1), per AS (SELECT p_brand AS work, p_size % 5 AS lv, count(*) AS k FROM part WHERE p_partkey % 9 = 0 GROUP BY 1, 2), up AS (SELECT work, lv, sum(k) OVER (PARTITION BY work ORDER BY lv) AS k FROM per) SELECT work, CAST(min(lv) AS INTEGER) AS level FROM up JOIN n USING (work) WHERE n >= 60 AND k BETWEEN 2 AND 40 AND n / k >= 3 GROUP BY work")
+def level_choice(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("i", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    n = p.groupBy(F.col("p_brand").alias("work")).agg(F.count("*").alias("n"))
+    s = p.where("p_partkey % 9 = 0").select(F.col("p_brand").alias("work"), "i", (F.col("p_size") % 5).alias("lv"), F.col("p_name").alias("t"))
+    return sections.chapters(sections.clean(s, n), n).groupBy("work").agg(F.max("lv").cast("int").alias("level"))
+
+
+@query()
+def greedy_chunks(spark, sf_dir):
+    d = _units(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("work").orderBy("i"))).withColumn("n", F.length(F.get("cn", 0)))
+    return sections.char_cuts(d.select("work", "i", "m", "n")).select("work", F.array_join("cuts", ",").alias("cuts"))
+
+
+@query()
+def page_chunks(spark, sf_dir):
+    d = _units(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("work").orderBy("i")))
+    r = d.groupBy("work").agg(F.lit(0).alias("start"), F.count("*").alias("end"))
+    return sections.page_cuts(d, r, 20).select("work", F.array_join("cuts", ",").alias("cuts"))
+
+
+@query()
+def align_greedy(spark, sf_dir):
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    work = F.lit("all")
+    src = d.select(work.alias("work"), F.col("doc_id").cast("int").alias("i"), F.lit(None).cast("string").alias("m"), F.col("text").alias("cn"))
+    none = F.array().cast("array<string>")
+    tr = b.select(work.alias("work"), F.col("item_id").cast("int").alias("u"), F.lit(None).cast("string").alias("m"), F.array("text").alias("cn"), F.array("text").alias("ko"), none.alias("nt"), F.lit(None).cast("string").alias("h"))
+    return align.align_works(src, tr).where(F.size("ko") > 0).select("work", "i", F.size("ko").alias("n_ko"), "x", F.array_join("places", ",").alias("places"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def html_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped"))
+
+
+@query("SELECT doc_id, '#/w/' || source || '/u' || CAST(doc_id AS VARCHAR) AS url, CAST(floor(n_chars / 1000.0 * 100 + 0.5) AS BIGINT) AS pct FROM documents")
+def anchors_and_percent(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.anchor_url(F.col("source"), F.lit(None).cast("string"), F.col("doc_id")).alias("url"), T.percent(F.col("n_chars") / 1000.0).alias("pct"))
+
+
+@query("SELECT source AS work, doc_id AS i, text AS t FROM documents WHERE doc_id = 17")
+def point_lookup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("work"), F.col("doc_id").alias("i"), F.lit(None).cast("string").alias("m"), F.col("text").alias("t"))
+    work = d.where("i = 17").select("work").first()[0]
+    return reader.lookup(d, work, "u17").select("work", "i", "t")
