@@ -38,6 +38,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? (?:{_NAME} ){{0,2}}{_NAME}",
 }
 KINDS = tuple(PATTERNS)
+#: Every entity holds one of these; most texts hold none, and skip the patterns.
+QUICK = rf"[0-9@]|(?<!\p{{L}})[{''.join(sorted({t[0] for t in FEMALE + MALE + NEUTRAL}))}](?:{'|'.join(t[1:] for t in FEMALE + MALE + NEUTRAL)})\.? \p{{Lu}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -76,9 +78,13 @@ def _name_words(value: Column) -> Column:
     return F.slice(words, 2, F.size(words) - 1)
 
 
-def parts(value: Column) -> Column:
+def _let(body, **fields: Column) -> Column:
+    """body over a struct of the fields, each of which is computed once."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in fields.items()])), body), F.lit(0))
+
+
+def parts(kind: Column, value: Column) -> Column:
     """array of struct(kind, canon): one for an entity, one a word for a name (the last is the surname)."""
-    kind = kind_of(value)
     words = _name_words(value)
     named = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), _gender(value))).alias("kind"), F.lower(w).alias("canon")))
     return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), canonical(kind, value).alias("canon"))))
@@ -127,47 +133,54 @@ def _made_name(kind: Column, canon: Column, stream: Column, attempt: Column) ->
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The canonical form's replacement, of the same type."""
-    s = _stream(kind, canon, attempt, key)
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
+    domain = F.substring_index(canon, "@", -1)
+    return _let(_made, kind=kind, canon=canon, attempt=attempt, s=_stream(kind, canon, attempt, key), d=F.when(kind == "email", _stream(F.lit("domain"), domain, F.lit(0), key)))
+
+
+def _made(p) -> Column:
+    kind, canon, s = p["kind"], p["canon"], p["s"]
+    domain = F.substring_index(canon, "@", -1)
     top = F.regexp_extract(domain, r"([a-z]+)$", 1)
-    host = _swap(F.regexp_extract(domain, r"^([^.]+)", 1), _stream(F.lit("domain"), domain, F.lit(0), key))
-    email = F.concat(_swap(local, s), F.lit("@"), host, F.when(top.isin("com", "net", "org"), F.concat(F.lit(".example."), top)).otherwise(F.lit(".example")))
+    host = _swap(F.regexp_extract(domain, r"^([^.]+)", 1), p["d"])
+    email = F.concat(_swap(F.substring_index(canon, "@", 1), s), F.lit("@"), host, F.when(top.isin("com", "net", "org"), F.concat(F.lit(".example."), top)).otherwise(F.lit(".example")))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _number(s, i, F.lit(254)) + 1), ".")
-    raw = _swap(canon, s)
-    phone = F.concat(_number(s, F.lit(30), F.lit(8)) + 2, F.substring(raw, 2, 2), _number(s, F.lit(31), F.lit(8)) + 2, F.substring(raw, F.lit(5), F.length(canon) - 4))
-    body = F.concat(_swap(F.substring(canon, F.lit(1), F.length(canon) - 1), s, 1))
+    phone = _let(lambda r: F.concat(_number(s, F.lit(30), F.lit(8)) + 2, F.substring(r["raw"], 2, 2), _number(s, F.lit(31), F.lit(8)) + 2, F.substring(r["raw"], F.lit(5), F.length(canon) - 4)), raw=_swap(canon, s))
     # the last digit gives the sum that the original has, so validity is kept
-    card = F.concat(body, F.pmod(_luhn(canon) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)))
+    card = _let(lambda r: F.concat(r["stem"], F.pmod(_luhn(canon) - _luhn(F.concat(r["stem"], F.lit("0"))), F.lit(10))), stem=F.concat(_swap(F.substring(canon, F.lit(1), F.length(canon) - 1), s, 1)))
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
-        .when(kind == "phone", F.when(F.length(canon) >= 7, phone).otherwise(raw))
+        .when((kind == "phone") & (F.length(canon) >= 7), phone)
         .when(kind == "card", card)
         .when(kind == "iban", _swap(canon, s, 2))
-        .when(kind == "ssn", raw)
-        .otherwise(_made_name(kind, canon, s, attempt))
+        .when(kind.isin("ssn", "phone"), _swap(canon, s))
+        .otherwise(_made_name(kind, canon, s, p["attempt"]))
     )
 
 
-def _render(value: Column, made: Column) -> Column:
+def _render(kind: Column, value: Column, made: Column) -> Column:
     """The surrogates of an entity's parts (array) in the entity's own format."""
-    kind, first = kind_of(value), F.get(made, 0)
-    drop = F.when(kind == "iban", F.regexp_replace(value, " ", "")).otherwise(_digits(value))
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
 
-    def place(c, i):
-        before = F.substring(value, F.lit(1), i)
-        at = F.length(F.when(kind == "iban", F.regexp_replace(before, " ", "")).otherwise(_digits(before))) - (F.length(drop) - F.length(first))
-        return F.when((F.when(kind == "iban", c != " ").otherwise(c.rlike("[0-9]"))) & (at >= 0), F.substring(first, at + 1, F.lit(1))).otherwise(c)
+    def spread(r):
+        def place(c, i):
+            before = F.substring(value, F.lit(1), i)
+            at = F.length(F.regexp_replace(before, r["skip"], F.lit(""))) - (F.length(F.regexp_replace(value, r["skip"], F.lit(""))) - F.length(r["first"]))
+            return F.when(~F.regexp_like(c, r["skip"]) & (at >= 0), F.substring(r["first"], at + 1, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), place), "")
 
-    spread = F.array_join(F.transform(chars, place), "")
+    first = F.get(made, 0)
     upper = (F.upper(value) == value) & (F.lower(value) != value)
+    formed = _let(spread, first=first, skip=F.when(kind == "iban", " ").otherwise("[^0-9]"))
     title = F.get(F.split(value, " "), 0)
-    return F.when(kind == "number", value).when(kind == "name", F.concat_ws(" ", title, F.concat_ws(" ", made))).when(kind == "email", F.when(upper, F.upper(first)).otherwise(first)).when(kind == "ip", first).otherwise(spread)
+    return F.when(kind == "number", value).when(kind == "name", F.concat_ws(" ", title, F.concat_ws(" ", made))).when(kind == "email", F.when(upper, F.upper(first)).otherwise(first)).when(kind == "ip", first).otherwise(formed)
 
 
 def _found(text: Column) -> Column:
-    return F.when(F.regexp_like(text, F.lit(ANY)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """array of struct(value, kind) in the text's order."""
+    values = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    found = F.transform(values, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
+    return F.when(F.regexp_like(text, F.lit(QUICK)), found).otherwise(F.array().cast("array<struct<value:string,kind:string>>"))
 
 
 def resolve(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -201,7 +214,7 @@ def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
     """
     cols = [c for c in documents.columns if c not in ("n_entities", "entity_kinds")]
     keyed = documents.select(*cols).withColumn("_key", F.xxhash64(F.lit("pii"), "text")).withColumn("_found", _found(F.col("text")))
-    each = keyed.where(F.size("_found") > 0).select("_key", F.explode("_found").alias("v")).select("_key", F.explode(parts(F.col("v"))).alias("p")).where("p.kind != 'number'")
+    each = keyed.where(F.size("_found") > 0).select("_key", F.explode("_found").alias("v")).where("v.kind != 'number'").select("_key", F.explode(parts(F.col("v.kind"), F.col("v.value"))).alias("p"))
     mentions = written(each.select("_key", "p.kind", "p.canon").distinct(), "pii-mentions")
     odd = written(resolve(mentions.select("kind", "canon").distinct(), key), "pii-attempts")
     tries = mentions.join(odd, ["kind", "canon"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias("_tries"))
@@ -209,12 +222,12 @@ def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
     small = (tries.agg(F.sum(F.size("_tries"))).first()[0] or 0) <= 5 * BROADCAST_ROWS
     df = join_checked(keyed, tries, "_key") if small else keyed.join(tries, "_key", "left")
     attempt = lambda p: F.coalesce(F.try_element_at("_tries", F.concat_ws("\x1f", p["kind"], p["canon"])), F.lit(0))
-    made = F.transform("_found", lambda v: _render(v, F.transform(parts(v), lambda p: surrogate(p["kind"], p["canon"], attempt(p), key))))
+    made = F.transform("_found", lambda v: _render(v["kind"], v["value"], F.transform(parts(v["kind"], v["value"]), lambda p: surrogate(p["kind"], p["canon"], attempt(p), key))))
     gaps = F.split("text", ANY, -1)
     text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_made", i), F.lit("")))), "")
     some = F.size("_found") > 0
     df = df.withColumn("_made", F.when(some, made)).withColumn("_text", F.when(some, text).otherwise(F.col("text")))
-    kinds = F.when(some, F.filter(F.transform("_found", kind_of), lambda k: k != "number")).otherwise(F.array().cast("array<string>"))
+    kinds = F.when(some, F.filter(F.transform("_found", lambda v: v["kind"]), lambda k: k != "number")).otherwise(F.array().cast("array<string>"))
     swapped = {"text": F.col("_text")} | ({"n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast("long")} if "n_chars" in cols else {})
     df = df.select(*[swapped.get(c, F.col(c)).alias(c) for c in cols], kinds.alias("entity_kinds"))
     return df.withColumn("n_entities", F.size("entity_kinds").cast("long"))
