@@ -77,7 +77,7 @@ def split_by_translation(units_: DataFrame, key: str = "path") -> DataFrame:
         F.size(a) > 0, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["m"].alias("m"), F.concat(F.element_at(a, -1)["ko"], F.array(k)).alias("ko"))))
     ).otherwise(a)
     groups = F.aggregate(F.arrays_zip(F.col("ko").alias("k"), F.col("_km").alias("m")), F.slice(F.array(group), 1, 0), lambda a, x: put(a, x["k"], x["m"]))
-    df = df.withColumn("_cm", cm).withColumn("_g", F.when("_go", groups))
+    df = df.withColumn("_cm", cm).withColumn("_g", F.when(F.col("_go"), groups))
 
     def seek(a, g):
         at = F.when(F.size(a) == 0, F.lit(0)).otherwise(F.element_at(a, -1))
@@ -86,7 +86,7 @@ def split_by_translation(units_: DataFrame, key: str = "path") -> DataFrame:
         return F.concat(a, F.array(F.when(found > 0, at + found.cast("int") - 1).otherwise(at)))
 
     starts = F.aggregate("_g", F.array().cast("array<int>"), lambda a, g: F.when(F.size(a) == 0, seek(F.array().cast("array<int>"), g)).otherwise(seek(F.filter(a, lambda x: x.isNotNull()), g)))
-    df = df.withColumn("_s", F.when("_go", starts))
+    df = df.withColumn("_s", F.when(F.col("_go"), starts))
     whole = df.where("not _go").select(key, "u", F.lit(0).alias("piece"), "m", "cn", "ko", "nt", "h")
     cut = df.where("_go").select("*", F.posexplode("_g").alias("piece", "_one"))
     s0 = F.get("_s", F.col("piece"))

@@ -103,7 +103,7 @@ def translation_units(paragraphs: DataFrame, key: str = "path") -> DataFrame:
     m = T.pure_marker(F.col("text"))
     p = paragraphs.withColumn("m", m).withColumn("seen", F.max(F.col("m").isNotNull()).over(w))
     p = p.withColumn("back", F.max(F.col("seen") & F.col("m").isNull() & F.lower("style").startswith("heading")).over(w))
-    p = p.withColumn("place", F.when("back", "back").when("seen", "body").otherwise("front"))
+    p = p.withColumn("place", F.when(F.col("back"), "back").when(F.col("seen"), "body").otherwise("front"))
     p = p.withColumn("u", F.when(F.col("place") == "body", F.sum(F.col("m").isNotNull().cast("int")).over(w)))
     noted = F.lower("style").contains("audit") | F.col("style").contains("검증") | F.col("style").contains("교감")
     line = F.struct("pos", "text")
@@ -141,7 +141,7 @@ def blocks(paragraphs: DataFrame, key: str = "path") -> DataFrame:
     p = p.where(~drop).withColumn("s", T.strip_side(F.col("text")))
     p = p.withColumn("body", F.when(F.col("note") | F.col("alone").isNotNull(), F.col("text")).otherwise(F.col("s.text"))).where("body != ''")
     is_head = T.is_heading(F.col("body"), F.col("style"))
-    hkind = F.when("note", "note").when(is_head, T.classify_head(F.col("body")))
+    hkind = F.when(F.col("note"), "note").when(is_head, T.classify_head(F.col("body")))
     p = p.withColumn("hkind", hkind).where("hkind is null or hkind != 'label'")
     kind = F.when(F.col("hkind").isNotNull(), "head").when(F.col("alone").isNotNull(), "marker").otherwise(T.block_kind(F.col("body"), F.col("s.side"), F.col("style")))
     p = p.withColumn("kind", kind)
