@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows below which a side whose row width is bounded may be broadcast.
 BROADCAST_ROWS = 20_000
+#: The same for sides that are one long column: 8 MB of ids.
+BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm import textvec
-from lectern.llm.common import join_checked, written
+from lectern.llm.common import BROADCAST_IDS, join_checked, written
 
 #: Five k-mers a sketch and 32 sketches: two texts that share a fifth of their k-mers (a common passage) meet in one
 #: of 100 cases, two at the threshold are missed in 3 of a million.
@@ -200,7 +200,7 @@ def compare(pairs: DataFrame, documents: DataFrame, k: int = WORDS, least: float
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     own = documents.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # only texts of candidates go on; rows that share a doc_id are one document
-    own = written(join_checked(own, ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "pair-texts")
+    own = written(join_checked(own, ids, "id", "left_semi", BROADCAST_IDS).groupBy("id").agg(F.min("text").alias("text")), "pair-texts")
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, jaccard double, n_a long, n_b long, lost long, diff array<long>")
 
@@ -276,7 +276,7 @@ def deduplicate(documents: DataFrame, k: int = WORDS, least: float = SIMILARITY)
     """documents with one row of each class: the smallest doc_id's. Rows without doc_id stay."""
     c = written(classes(documents, k, least), "classes")
     drop = c.where("not is_representative").select("doc_id").distinct()
-    out = join_checked(documents, drop, "doc_id", "left_anti")
+    out = join_checked(documents, written(drop, "copies"), "doc_id", "left_anti", BROADCAST_IDS)
     again = c.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not again.isEmpty():
         repeated = out.join(again.select("doc_id"), "doc_id", "left_semi")
