@@ -88,9 +88,7 @@ def source_units(paragraphs: DataFrame, key: str = "path") -> DataFrame:
 
 def layout(paragraphs: DataFrame, tables: DataFrame, key: str = "path") -> DataFrame:
     """(key, layout): table, translation or general, in this order of precedence."""
-    head = F.array_join(F.get("rows", 0), " ")
-    body = (F.size(F.get("rows", 0)) >= 3) & ((head.contains("위치표지") & head.contains("원문")) | T.pure_marker(F.get(F.get("rows", 0), 0)).isNotNull())
-    flags = tables.groupBy(key).agg(F.bool_or(body & (F.size("rows") >= 3)).alias("table"))
+    flags = tables.groupBy(key).agg(F.bool_or(_is_body(F.col("rows")) & (F.size("rows") >= 3)).alias("table"))
     counts = paragraphs.groupBy(key).agg(F.count("*").alias("n"), F.count_if(T.is_source_line(F.col("text"))).alias("source"), F.count_if(T.pure_marker(F.col("text")).isNotNull()).alias("anchors"))
     kind = F.when(F.coalesce("table", F.lit(False)), "table").when((F.coalesce("anchors", F.lit(0)) >= 20) & (F.col("source") < F.col("n") * 0.03), "translation").otherwise("general")
     return counts.join(flags, key, "full").select(key, kind.alias("layout"))
@@ -117,13 +115,22 @@ def translation_units(paragraphs: DataFrame, key: str = "path") -> DataFrame:
     return g.select(key, "place", "u", F.when(F.col("place") == "body", F.col("m")).alias("m"), F.col("ko.text").alias("ko"), F.col("nt.text").alias("nt"), F.col("texts.text").alias("texts"))
 
 
+def _is_body(rows):
+    head = F.array_join(F.get(rows, 0), " ")
+    return (F.size(F.get(rows, 0)) >= 3) & ((head.contains("위치표지") & head.contains("원문")) | T.pure_marker(F.get(F.get(rows, 0), 0)).isNotNull())
+
+
+def side_tables(tables: DataFrame) -> DataFrame:
+    """Tables of an aligned document that hold no text: where its glossary and bibliography are looked for."""
+    return tables.where(~_is_body(F.col("rows")))
+
+
 def table_units(tables: DataFrame, key: str = "path") -> DataFrame:
     """(key, i, m, cn, ko, nt) of the rows (marker, source, translation) of aligned tables. In a translation cell the
     lines after a short note heading are notes."""
     head = F.array_join(F.get("rows", 0), " ")
     labelled = head.contains("위치표지") | head.contains("원문")
-    body = (F.size(F.get("rows", 0)) >= 3) & ((head.contains("위치표지") & head.contains("원문")) | T.pure_marker(F.get(F.get("rows", 0), 0)).isNotNull())
-    rows = tables.where(body).select(key, "t", F.posexplode(F.when(labelled, F.slice("rows", 2, F.size("rows"))).otherwise(F.col("rows"))).alias("r", "row"))
+    rows = tables.where(_is_body(F.col("rows"))).select(key, "t", F.posexplode(F.when(labelled, F.slice("rows", 2, F.size("rows"))).otherwise(F.col("rows"))).alias("r", "row"))
     lines = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.select(key, "t", "r", T.first_marker(F.get("row", 0)).alias("m"), lines(F.get("row", 1)).alias("cn"), lines(F.get("row", 2)).alias("all"))
     rows = rows.where((F.size("cn") > 0) | (F.size("all") > 0))

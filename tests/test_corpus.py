@@ -91,8 +91,8 @@ def test_table_and_translation_documents(spark, tmp_path):
     p = docx.read_paragraphs(spark, str(tmp_path / "*.docx"))
     assert {r.path[-6:]: r.layout for r in docx.layout(p, t).collect()} == {"t.docx": "table", "o.docx": "translation"}
     assert [(r.m, r.cn, r.ko, r.nt) for r in docx.table_units(t).orderBy("i").collect()] == [("0001a01", ["大乘", "起信"], ["번역"], ["각주 줄"]), ("0001a02", ["佛"], [], [])]
-    assert docx.glossary(t).first().entries[0].asDict() == {"cn": "佛", "ko": "부처", "note": "n"}
-    assert [(r.name, r.value) for r in docx.bibliography(t).collect()] == [("문헌명", "가")]
+    assert docx.glossary(docx.side_tables(t)).first().entries[0].asDict() == {"cn": "佛", "ko": "부처", "note": "n"}
+    assert [(r.name, r.value) for r in docx.bibliography(docx.side_tables(t)).collect()] == [("문헌명", "가")]
     o = docx.translation_units(p.where(F.col("path").endswith("o.docx"))).collect()
     assert sum(r.place == "body" for r in o) == 20 and {r.place: r.texts for r in o if r.place != "body"} == {"front": ["서문"], "back": ["부록", "뒤"]}
 
