@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import text as T
 
+#: Needles up to which each is sought in every text; beyond, windows of the texts meet the needles by equality.
+NEEDLES = 200
 PAGE_SIZES = (10, 20, 30, 50, 100)
 BLOCK = 10
 
@@ -39,7 +41,7 @@ def hits(indexed: DataFrame, works: DataFrame, query: str, scope: str = "both",
     """
     qcn, qko = normal_query(indexed.sparkSession, query)
     h = indexed.withColumn("where", side_of(F.col("ncn"), F.col("nko"), qcn, qko, scope)).where("where is not null")
-    h = h.join(F.broadcast(works.select("work", "title", "title_ko", "ord")), "work", "left").orderBy("ord", "work", "i")
+    h = h.join(works.select("work", "title", "title_ko", "ord"), "work", "left").orderBy("ord", "work", "i")
     h = h.limit(limit) if limit else h
     snip = F.when(F.col("where") == "cn", T.kwic(F.col("cn_raw"), F.lit(qcn), "cn")).otherwise(T.kwic(F.col("ko_raw"), F.lit(qko), "ko"))
     alt = F.when(F.col("where") == "cn", F.substring("ko_raw", 1, T.PREVIEW["ko"])).otherwise(F.substring(F.regexp_replace("cn_raw", T.MARKER, ""), 1, T.PREVIEW["cn"]))
@@ -68,6 +70,17 @@ def page(found: DataFrame, number: int, size: int = PAGE_SIZES[0], work: str | N
     return found.orderBy("ord", "work", "i").offset((number - 1) * size).limit(size)
 
 
+def locate(texts: DataFrame, needles: DataFrame, length: int, few: int = NEEDLES) -> DataFrame:
+    """(key, id, at): the first place (from 1) of each needle (id, needle: exactly `length` characters) in each text
+    (key, text) that has it. Null texts have none; shorter needles must be left out by the caller."""
+    if needles.limit(few + 1).count() <= few:
+        found = texts.join(F.broadcast(needles), F.col("text").contains(F.col("needle")))
+        return found.select("key", "id", F.instr(F.col("text"), F.col("needle")).cast("long").alias("at"))
+    # every window goes to its needle: `length` times the text is moved, but no text meets a needle that it lacks
+    windows = texts.where(F.length("text") >= length).select("key", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("text") - length + 1), lambda k: F.substring(F.col("text"), k, F.lit(length)))).alias("p", "needle"))
+    return windows.join(needles, "needle").groupBy("key", "id").agg((F.min("p") + 1).cast("long").alias("at"))
+
+
 def page_numbers(total: int, number: int, size: int) -> dict:
     """First and last page of the block that holds the page, and where first, prev, next and last lead."""
     pages = max(1, -(-total // size))

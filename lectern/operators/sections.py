@@ -131,11 +131,12 @@ def subdivide(units: DataFrame, chapters_: DataFrame, sizes: DataFrame, limit: i
 
 
 def assign(units: DataFrame, chapters_: DataFrame) -> DataFrame:
-    """units with c: the number (from 0) of the last chapter at or before the unit (backward as-of, one window)."""
-    ranked = chapters_.withColumn("c", F.row_number().over(W.partitionBy("work").orderBy("i")) - 1).select("work", (F.col("i") + 1).cast("int").alias("i"), F.lit(0).alias("_u"), "c")
-    both = ranked.unionByName(units.drop("c").withColumn("_u", F.lit(1)), allowMissingColumns=True)
-    w = W.partitionBy("work").orderBy("i", "_u")
-    return both.withColumn("c", F.last("c", True).over(w)).where("_u = 1").drop("_u")
+    """units with c: the number (from 0) of the last chapter at or before the unit (backward as-of). A work's chapter
+    starts, few, go to its units as one array: an equi-join, of which a hot work's side can be split."""
+    starts = chapters_.groupBy("work").agg(F.sort_array(F.collect_list("i")).alias("_starts"))
+    u = units.drop("c").join(starts, "work", "left")
+    n = F.size(F.filter("_starts", lambda s: s < F.col("i")))
+    return u.withColumn("c", F.when(n > 0, n - 1)).drop("_starts")
 
 
 def chapter_sizes(chapters_: DataFrame, sizes: DataFrame) -> DataFrame:

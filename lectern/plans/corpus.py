@@ -69,7 +69,7 @@ def search_scoped_precedence(spark, sf_dir):
 @query("SELECT source AS work, CAST(count(*) AS BIGINT) AS n FROM documents WHERE contains(text, 'tion') GROUP BY ROLLUP (source)")
 def facet_rollup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(F.col("text").contains("tion")).groupBy("source").count()
-    return search.facets(d.select(F.col("source").alias("work"), F.col("count").alias("n"), F.dense_rank().over(W.orderBy("source")).alias("ord"))).select("work", F.col("n").cast("long").alias("n"))
+    return search.facets(d.select(F.col("source").alias("work"), F.col("count").alias("n"), F.col("source").alias("ord"))).select("work", F.col("n").cast("long").alias("n"))
 
 
 @query("SELECT source AS work, doc_id AS i FROM documents WHERE contains(text, 'tion') ORDER BY source, doc_id LIMIT 10 OFFSET 20")
@@ -185,13 +185,12 @@ def fingerprint_groups(spark, sf_dir):
     return d.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query("SELECT b.item_id, d.doc_id, CAST(instr(d.text, substr(b.text, 1, 24)) AS BIGINT) AS at FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 24))")
+@query("SELECT b.item_id, d.doc_id, CAST(instr(d.text, substr(b.text, 1, 24)) AS BIGINT) AS at FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 24)) WHERE length(b.text) >= 24")
 def passage_locate(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 24).alias("needle"))
-    # an equal needle needs an equal first word group: candidates by the needle's place in a split text would be
-    # longer than the scan, so the needles, few and short, go to every task
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(F.broadcast(b), F.col("text").contains(F.col("needle"))).select("item_id", "doc_id", F.instr(F.col("text"), F.col("needle")).cast("long").alias("at"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    found = search.locate(d, b.where(F.length("needle") == 24).withColumnRenamed("item_id", "id"), 24)
+    return found.select(F.col("id").alias("item_id"), F.col("key").alias("doc_id"), "at")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -201,7 +200,7 @@ def anti_discover(spark, sf_dir):
 
 @query("SELECT c.c_custkey AS work, coalesce(c.c_mktsegment, 'none') AS segment, coalesce(n.n_name, '?') AS canon FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey")
 def overlay_left_join(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     s = c.select(F.col("c_custkey").alias("work"))
     meta = c.select(F.col("c_custkey").alias("work"), F.col("c_mktsegment").alias("segment"))
     reg = c.select(F.col("c_custkey").alias("work"), F.col("n_name").alias("canon"))
@@ -276,27 +275,164 @@ def level_choice(spark, sf_dir):
     return sections.chapters(sections.clean(s, n), n).groupBy("work").agg(F.max("lv").cast("int").alias("level"))
 
 
-@query()
+def _lines(spark, sf_dir):
+    """A document as the work, its lines as units, seven to a page."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("work"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    marker = F.concat(F.lpad(F.floor(F.col("at") / 7 + 100).cast("string"), 4, "0"), F.lit("a"), F.lpad((F.col("at") % 7 + 1).cast("string"), 2, "0"))
+    return d.select("work", (F.col("at") + 1).alias("i"), marker.alias("m"), F.length("line").alias("n"), "line")
+
+
+_LINES = "SELECT doc_id AS work, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+_LINE_MARK = "lpad(CAST((i - 1) // 7 + 100 AS VARCHAR), 4, '0') || 'a' || lpad(CAST((i - 1) % 7 + 1 AS VARCHAR), 2, '0')"
+
+
+@query(
+    f"WITH RECURSIVE l AS (SELECT work, i - 1 AS k, (i - 1) // 7 AS page, length(line) AS n FROM ({_LINES})), "
+    "f AS (SELECT work, k, page, CAST(n AS BIGINT) AS acc, CAST([] AS INTEGER[]) AS cuts FROM l WHERE k = 0 UNION ALL "
+    "SELECT l.work, l.k, l.page, CASE WHEN f.acc >= 2000 AND l.page <> f.page THEN 0 ELSE f.acc END + l.n, CASE WHEN f.acc >= 2000 AND l.page <> f.page THEN list_append(f.cuts, l.k) ELSE f.cuts END FROM f JOIN l ON l.work = f.work AND l.k = f.k + 1), "
+    "z AS (SELECT work, max(k) + 1 AS n, arg_max(cuts, k) AS cuts FROM f GROUP BY work) "
+    "SELECT work, array_to_string(CASE WHEN len(cuts) > 0 AND n - cuts[-1] < 3 THEN cuts[:-2] ELSE cuts END, ',') AS cuts FROM z"
+)
 def greedy_chunks(spark, sf_dir):
-    d = _units(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("work").orderBy("i"))).withColumn("n", F.length(F.get("cn", 0)))
-    return sections.char_cuts(d.select("work", "i", "m", "n")).select("work", F.array_join("cuts", ",").alias("cuts"))
+    return sections.char_cuts(_lines(spark, sf_dir), 2000).select("work", F.array_join("cuts", ",").alias("cuts"))
 
 
-@query()
+@query(
+    "SELECT doc_id AS work, array_to_string(list_filter(range(21, n, 21), lambda k: k < (n - 1) // 21 * 21 OR n - k >= 10), ',') AS cuts "
+    "FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) WHERE n > 7"
+)
 def page_chunks(spark, sf_dir):
-    d = _units(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("work").orderBy("i")))
-    r = d.groupBy("work").agg(F.lit(0).alias("start"), F.count("*").alias("end"))
-    return sections.page_cuts(d, r, 20).select("work", F.array_join("cuts", ",").alias("cuts"))
+    u = _lines(spark, sf_dir)
+    r = u.groupBy("work").agg(F.lit(0).alias("start"), F.count("*").alias("end"))
+    return sections.page_cuts(u, r, 20).select("work", F.array_join("cuts", ",").alias("cuts"))
+
+
+@query(f"WITH l AS (SELECT work, i, (i - 1) // 30 AS part, {_LINE_MARK} AS m FROM ({_LINES})) SELECT work, CAST(part * 30 AS INTEGER) AS start, CASE WHEN count(*) = 1 THEN min(m) ELSE min(m) || '–' || max(m) END AS label FROM l GROUP BY work, part")
+def range_labels(spark, sf_dir):
+    u = _lines(spark, sf_dir)
+    part = F.floor((F.col("i") - 1) / 30).cast("int")
+    r = u.groupBy("work", part.alias("k")).agg((F.min("i") - 1).alias("start"), F.max("i").alias("end")).drop("k")
+    return sections.range_labels(u, r).select("work", "start", "label")
+
+
+@query(f"SELECT work, i, {_LINE_MARK} AS m FROM ({_LINES}) WHERE i = 9")
+def lookup_by_marker(spark, sf_dir):
+    u = _lines(spark, sf_dir)
+    return u.where(F.col("m") == "0101a02").select("work", "i", "m")
+
+
+@query(f"SELECT work, i, CASE WHEN i % 2 = 0 THEN NULL ELSE {_LINE_MARK} END IS NULL AND length(line) <= 80 AS title_like, i % 3 = 0 AS untranslated FROM ({_LINES})")
+def display_rules(spark, sf_dir):
+    u = _lines(spark, sf_dir).select("work", "i", F.when(F.col("i") % 2 == 1, F.col("m")).alias("m"), F.array("line").alias("cn"), F.when(F.col("i") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("k"))).alias("ko"))
+    return reader.display(u).select("work", "i", "title_like", "untranslated")
+
+
+@query(
+    f"SELECT work, i, regexp_replace(replace(replace(replace(replace('[' || {_LINE_MARK} || ']' || line || '[12]', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '^\\[(\\d{{3,4}}[abc]\\d{{2}})\\](.*)\\[12\\]$', '<span class=\"mk\">[\\1]</span>\\2<span class=\"ap\">[12]</span>', 's') AS html, line AS plain FROM ({_LINES})"
+)
+def source_markup(spark, sf_dir):
+    u = _lines(spark, sf_dir)
+    s = F.concat(F.lit("["), "m", F.lit("]"), "line", F.lit("[12]"))
+    return u.select("work", "i", T.decorate_source(s).alias("html"), T.strip_leading_marker(F.concat(F.lit("["), "m", F.lit("] "), F.lit("x"), "line")).substr(F.lit(2), F.length("line")).alias("plain"))
+
+
+_OCC = f"regexp_replace(lower(text), '{_DROP}', '', 'g')"
+
+
+@query(f"SELECT doc_id, CAST((length({_OCC}) - length(replace({_OCC}, 'tione', ''))) // 5 AS BIGINT) AS n FROM documents WHERE contains({_OCC}, 'tione')")
+def occurrences(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(T.find_ranges(F.col("text"), F.lit("tione"), "ko")).cast("long").alias("n"))
+    return d.where("n > 0")
+
+
+@query("SELECT page_id, '#/w/' || CAST(page_id AS VARCHAR) || '/u' || CAST(page_id AS VARCHAR) || '?q=' || url_encode(url || ' &?') || '&in=ko&u=' || CAST(page_id AS VARCHAR) AS link FROM pages")
+def deep_links(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", T.deep_link(F.col("page_id").cast("string"), F.lit(None).cast("string"), F.col("page_id"), F.concat("url", F.lit(" &?")), F.lit("ko")).alias("link"))
+
+
+@query("SELECT page_id, 'w' AS \"view\", CAST(page_id AS VARCHAR) AS id, 'u' || CAST(page_id AS VARCHAR) AS anchor, url || ' &?' AS q, 'ko' AS side FROM pages")
+def routes(spark, sf_dir):
+    d = deep_links(spark, sf_dir).select("page_id", T.route(F.col("link")).alias("r"))
+    return d.select("page_id", "r.view", "r.id", "r.anchor", F.col("r.params")["q"].alias("q"), F.col("r.params")["in"].alias("side"))
+
+
+@query("SELECT n_nationkey AS id, coalesce(n_regionkey <> lag(n_regionkey) OVER (ORDER BY n_nationkey), true) AS head FROM nation")
+def canon_groups(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("canon_id"), F.col("n_nationkey").alias("ord"), F.array("n_name").alias("tags"))
+    return reader.group_headers(n).select("id", "head")
+
+
+@query("SELECT conv_id AS work, turn AS i, arg_max(role, text) AS t FROM conversations WHERE turn % 3 <> 0 GROUP BY conv_id, turn")
+def sections_without_chapters(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("work"), F.col("turn").alias("i"), F.lit(1).alias("lv"), F.col("role").alias("t"), F.col("text").alias("ord"))
+    return sections.sub_headings(c, c.where("i % 3 = 0"))
+
+
+@query(
+    "WITH c AS (SELECT p_brand AS work, p_partkey AS i, p_name AS t FROM part WHERE p_partkey % 40 = 1), s AS (SELECT p_brand AS work, max(p_partkey) + 1 AS n FROM part GROUP BY 1) "
+    "SELECT work, i, coalesce(lead(i) OVER w, n) - i AS units, lag(t) OVER w AS prev, lead(t) OVER w AS next FROM c JOIN s USING (work) WINDOW w AS (PARTITION BY work ORDER BY i)"
+)
+def chapter_neighbours(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("work"), F.col("p_partkey").alias("i"), F.col("p_name").alias("t"))
+    sizes = p.groupBy("work").agg((F.max("i") + 1).alias("n"))
+    return sections.chapter_sizes(p.where("i % 40 = 1"), sizes).select("work", "i", "units", "prev", "next")
+
+
+@query(f"SELECT work, i, line, CASE WHEN i = 15 THEN 'here' END AS heading FROM ({_LINES}) CROSS JOIN (SELECT least(1, (len(string_split(text, chr(10))) - 1) // 10) * 10 AS start FROM documents WHERE doc_id = 7) WHERE work = 7 AND i > start AND i <= start + 10")
+def chapter_scan(spark, sf_dir):
+    u = _lines(spark, sf_dir)
+    c = u.where("(i - 1) % 10 = 0").select("work", (F.col("i") - 1).alias("i"))
+    sub = u.where("i = 15").select("work", (F.col("i") - 1).alias("i"), F.lit("here").alias("t"))
+    return reader.chapter(u, c, sub, 7, 1).select("work", "i", "line", "heading")
+
+
+@query("SELECT conv_id AS work, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY role, turn) AS i FROM conversations")
+def concatenated_parts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("work"), "role", F.col("role").alias("src"), "turn", F.col("turn").alias("i"))
+    return source_text.concat_parts(c).select("work", "role", "turn", F.col("i").cast("long").alias("i"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CAST(doc_id AS VARCHAR) AS title_ko, 'ZW' AS canon_id, 999 AS canon_no, true AS verify FROM documents WHERE n_chars % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def discover_defaults(spark, sf_dir):
+    name = F.when(F.col("n_chars") % 2 == 0, "원문.txt").otherwise("원문2.txt")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array(name).alias("names"))
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return source_text.discover(d, known).select("id", "title_ko", "canon_id", "canon_no", "verify")
+
+
+@query(f"SELECT work, CAST(count(*) AS BIGINT) AS units, min({_LINE_MARK}) FILTER (i % 5 <> 0) AS ingest_first, max({_LINE_MARK}) FILTER (i % 5 <> 0) AS ingest_last, min({_LINE_MARK}) AS rebuilt_first, max({_LINE_MARK}) AS rebuilt_last FROM ({_LINES}) GROUP BY work")
+def rebuilt_ranges(spark, sf_dir):
+    u = _lines(spark, sf_dir).select("work", "i", "m", F.array("line").alias("cn"), F.array().cast("array<string>").alias("ko"), F.when(F.col("i") % 5 == 0, 1).alias("x"))
+    a, b = stats.work_stats(u, F.length), stats.work_stats(u, F.length, ingest=False)
+    a = a.select("work", "units", F.col("range_first").alias("ingest_first"), F.col("range_last").alias("ingest_last"))
+    return a.join(b.select("work", F.col("range_first").alias("rebuilt_first"), F.col("range_last").alias("rebuilt_last")), "work")
+
+
+@query(f"SELECT work, i, CAST((i - 1) // 7 + 100 AS INTEGER) AS page, 'a' AS col, CAST((i - 1) % 7 + 1 AS INTEGER) AS line FROM ({_LINES})")
+def marker_coordinates(spark, sf_dir):
+    return _lines(spark, sf_dir).select("work", "i", T.marker_parts(F.col("m")).alias("p")).select("work", "i", "p.page", F.col("p.column").alias("col"), "p.line")
+
+
+@query("SELECT * FROM (VALUES (1, 'cn', '大乘'), (2, 'ko', '부처'), (3, NULL, '大乘')) t(id, side, text)")
+def side_prefixes(spark, sf_dir):
+    d = spark.createDataFrame([(1, "원문  大乘"), (2, "번역 부처"), (3, "大乘")], "id int, s string")
+    return d.select("id", T.strip_side(F.col("s")).alias("x")).select("id", "x.side", "x.text")
+
+
+@query("SELECT * FROM (VALUES ('w', 0, '某經卷第一'), ('w', 1, '某經卷下')) t(work, i, t)")
+def volume_titles(spark, sf_dir):
+    u = spark.createDataFrame([("w", 1, ["某經卷第一"]), ("w", 2, ["某經卷第一", "某經卷下"])], "work string, i int, cn array<string>")
+    return sections.volume_lines(u).select("work", "i", "t")
 
 
 @query()
 def align_greedy(spark, sf_dir):
-    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    work = F.lit("all")
-    src = d.select(work.alias("work"), F.col("doc_id").cast("int").alias("i"), F.lit(None).cast("string").alias("m"), F.col("text").alias("cn"))
+    """A conversation as the work: its turns are the source, what users say with its answer the translation."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("work"), F.col("turn").cast("int").alias("i"), F.lit(None).cast("string").alias("m"), F.col("text").alias("cn"), "role")
     none = F.array().cast("array<string>")
-    tr = b.select(work.alias("work"), F.col("item_id").cast("int").alias("u"), F.lit(None).cast("string").alias("m"), F.array("text").alias("cn"), F.array("text").alias("ko"), none.alias("nt"), F.lit(None).cast("string").alias("h"))
-    return align.align_works(src, tr).where(F.size("ko") > 0).select("work", "i", F.size("ko").alias("n_ko"), "x", F.array_join("places", ",").alias("places"))
+    tr = c.where("role = 'user'").select("work", F.col("i").alias("u"), "m", F.array("cn").alias("cn"), F.array("role").alias("ko"), none.alias("nt"), F.lit(None).cast("string").alias("h"))
+    return align.align_works(c.drop("role"), tr).select("work", "i", F.size("ko").alias("n_ko"), "x", F.array_join("places", ",").alias("places"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
