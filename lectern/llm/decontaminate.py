@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of benchmark word windows, scanned over every document.
 
 Native: DataFrame functions only. Every document word window is hashed; the hash probes the benchmark's
-windows (broadcast when their counted number is bounded, shuffled otherwise), and each hit is verified word
+windows (broadcast when their counted number and bytes are bounded, shuffled otherwise), and each hit is verified word
 by word in the join condition, so equal hashes alone never count.
 """
 
@@ -17,8 +17,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 8
-#: Distinct benchmark windows up to which they are broadcast; 8 words each bound a row.
-BROADCAST_WINDOWS = 200_000
+#: Distinct benchmark windows, and bytes of their words and item ids, up to which they are broadcast.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def words(text):
@@ -60,20 +60,24 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
     Repeated rows each get their own row; extra columns are ignored unless kept. An empty benchmark gives no hits.
     """
     bench = written(benchmark_windows(benchmark, window), "benchmark-windows")
-    n_windows = bench.count()
+    n_windows, n_bytes = bench.agg(F.count("*"), F.sum(F.length(F.concat_ws(" ", "window_words")) * 4 + F.length(F.concat_ws(" ", "items")))).first()
     sizes = [r[0] for r in bench.select(F.size("window_words").alias("n")).distinct().collect()]  # at most `window` values
     docs = documents.select(F.monotonically_increasing_id().alias("_row"), *keep, words(F.col(text)).alias("_words"))
     docs = docs.withColumn("_hashes", F.transform("_words", lambda x: F.xxhash64(x)))
     spans = [_placed(_window_hashes(F.col("_hashes"), n), n) for n in sorted(sizes)]
-    mark = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("h")))
+    # a row of its own for each document, with a key of its own: in a shuffled join they don't meet in one task
+    mark = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.xxhash64("_row").alias("h")))
     rows = docs.select("_row", *keep, "_words", F.size("_words").cast("long").alias("_n_words"), F.explode(F.concat(mark, *spans)).alias("_w"))
     rows = rows.select("_row", *keep, "_words", "_n_words", F.col("_w.pos").alias("_pos"), F.col("_w.n").alias("_n"), F.col("_w.h").alias("_h"))
     bench = bench.select(F.col("window_hash").alias("_bh"), F.col("window_words").alias("_bw"), F.col("items").alias("_items"))
-    if n_windows <= BROADCAST_WINDOWS:
+    own = F.slice("_words", F.greatest(F.col("_pos"), F.lit(0)) + 1, F.greatest(F.col("_n"), F.lit(1)))
+    if n_windows <= BROADCAST_WINDOWS and (n_bytes or 0) <= BROADCAST_BYTES:
         bench = F.broadcast(bench)
+    else:
+        # a window is moved with its own words, not with all of its document's
+        rows, own = rows.withColumn("_own", own).drop("_words"), F.col("_own")
     # only for equal hashes are the words themselves compared
-    same = (F.col("_h") == F.col("_bh")) & (F.col("_pos") >= 0) & (F.slice("_words", F.greatest(F.col("_pos"), F.lit(0)) + 1, F.greatest(F.col("_n"), F.lit(1))) == F.col("_bw"))
-    hits = rows.join(bench, same, "left").where("_pos < 0 or _items is not null")
+    hits = rows.join(bench, (F.col("_h") == F.col("_bh")) & (F.col("_pos") >= 0) & (own == F.col("_bw")), "left").where("_pos < 0 or _items is not null")
     hit = F.when(F.col("_pos") >= 0, F.struct(F.col("_pos").alias("pos"), F.col("_n").alias("n"), F.col("_items").alias("items")))
     return hits.groupBy("_row", *keep, "_n_words").agg(F.collect_list(hit).alias("_hits"))
 

@@ -124,7 +124,9 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.classes(frame(spark, [])).count() == 0
 
 
-def test_decontamination(spark, texts):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination(spark, texts, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
     passage = " ".join((next(t for i, t in texts if i == 200)).split()[10:25])
     bench = [(1, passage.upper()), (2, "short item of beta"), (3, None), (4, "..."), (5, "one two"), (6, passage), (10, "beta " * 9)]
     items = spark.createDataFrame([(*r, 0) for r in bench], "item_id long, text string, window_hash int")
