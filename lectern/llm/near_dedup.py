@@ -2,12 +2,16 @@
 
 A text's k-mers (five words) are labelled with their occurrence number. Each of several sketches takes the labelled
 k-mers with the smallest keyed hashes and keeps them in text order, so it collides for texts that share k-mers in
-the same order. Texts that share a sketch are candidates; a banded alignment of their k-mer sequences finds the
-k-mers kept in order, c, and the similarity c / (n_a + n_b - c) decides. Classes are the connected components.
+the same order. Texts of few k-mers are also met by what is left of them after each choice of as many deletions as the
+threshold allows, which misses none. Texts that share a sketch or such a rest are candidates; a banded alignment of
+their k-mer sequences finds the k-mers kept in order, c, and the similarity c / (n_a + n_b - c) decides. Classes are
+the connected components.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -16,8 +20,11 @@ from lectern.llm import textvec
 from lectern.llm.common import BROADCAST_IDS, join_checked, written
 
 #: Five k-mers a sketch and 32 sketches: two texts that share a fifth of their k-mers (a common passage) meet in one
-#: of 100 cases, two at the threshold are missed in 3 of a million.
+#: of 100 cases, two long ones at the threshold are missed in 3 of a million (of 100 k-mers in 5 of a million).
 WORDS, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 32, 5
+#: Texts of up to FEW k-mers meet by their rests, with certainty; below MEDIUM k-mers a text has twice the sketches,
+#: so that two at the threshold (8 of 10 k-mers at worst) are missed in 1 of 10 million.
+FEW, MEDIUM = 9, 100
 #: Members as near as this to their centre are compared by what sets them apart from it.
 NEAR = 0.5
 _U = np.uint64
@@ -59,6 +66,24 @@ def order_minhash(kmers: np.ndarray, sketches: int = SKETCHES, kept: int = KEPT)
     return np.concatenate(out).view(np.int64).tolist()
 
 
+def rests(kmers: np.ndarray, least: float = SIMILARITY, few: int = FEW) -> list[int]:
+    """Signed 64-bit values: what is left of the k-mers, in text order, after each choice of deletions.
+
+    Two texts that keep c k-mers in order reach `least` only if c is at least that share of either one's, so they
+    have a rest of c k-mers in common. Where the shorter has up to `few`, c is no more: longer rests aren't needed.
+    """
+    n = len(kmers)
+    low, high = max(1, int(np.ceil(least * n - 1e-9))), min(n, few)
+    out = set()
+    for c in range(low, high + 1):
+        kept = kmers[np.array(list(itertools.combinations(range(n), c)))]
+        v = np.full(len(kept), c, dtype=_U)
+        for i in range(c):
+            v = textvec.mix(v * _U(0x9E3779B97F4A7C15) + kept[:, i])
+        out.update(v.view(np.int64).tolist())
+    return sorted(out)
+
+
 def banded_common(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence of a and b within `band` places off the diagonal.
 
@@ -139,15 +164,16 @@ def _blocks(column, limit: int = 1 << 20):
         yield at, out
 
 
-def sketch(documents: DataFrame, k: int = WORDS, sketches: int = SKETCHES, kept: int = KEPT) -> DataFrame:
-    """doc_id, d1, d2 (digest of the word sequence), n_kmers, sketches of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_kmers", pa.int64()), ("sketches", pa.list_(pa.int64()))])
+def sketch(documents: DataFrame, k: int = WORDS, sketches: int = SKETCHES, kept: int = KEPT, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, d1, d2 (digest of the word sequence), n_kmers, sketches, rests of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_kmers", pa.int64()), ("sketches", pa.list_(pa.int64())), ("rests", pa.list_(pa.int64()))])
+    twice = min(2 * sketches, len(_SEEDS))
 
     def run(batches):
         for b in batches:
             for at, texts in _blocks(b.column(1)):
                 h, counts = textvec.words(texts)
-                d1, d2, n, sk = [], [], [], []
+                d1, d2, n, sk, rs = [], [], [], [], []
                 for e, c in zip(np.cumsum(counts).tolist(), counts.tolist()):
                     w = h[e - c : e]
                     pw, _ = textvec.powers(c + 1)
@@ -155,10 +181,11 @@ def sketch(documents: DataFrame, k: int = WORDS, sketches: int = SKETCHES, kept:
                     d2.append(int((textvec.mix(w ^ _U(0x5851F42D4C957F2D)) * pw[1:]).sum(dtype=_U).view(np.int64)))
                     x = textvec.shingles(w, k)
                     n.append(len(x))
-                    sk.append(order_minhash(x, sketches, kept))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()), pa.array(sk, pa.list_(pa.int64()))], schema=schema)
+                    sk.append(order_minhash(x, twice if len(x) < MEDIUM else sketches, kept) if len(x) > FEW else [])
+                    rs.append(rests(x, least))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(rs, pa.list_(pa.int64()))], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, d1 long, d2 long, n_kmers long, sketches array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, d1 long, d2 long, n_kmers long, sketches array<long>, rests array<long>")
 
 
 def labelled(kmers: np.ndarray) -> np.ndarray:
@@ -231,10 +258,12 @@ def classes(documents: DataFrame, k: int = WORDS, least: float = SIMILARITY, ske
     from the start; doc_id is taken to name a document, so rows that repeat one count once in the search. Rows with
     a null doc_id get a null class. Extra columns are ignored.
     """
-    rows = written(sketch(documents, k, sketches, kept), "sketches")
+    rows = written(sketch(documents, k, sketches, kept, least), "sketches")
     known = rows.where("doc_id is not null")
-    exact = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_kmers").alias("n"), F.first("sketches").alias("sketches")), "distinct-texts")
-    bucket = exact.select("rep", "n", F.posexplode("sketches").alias("j", "h"))
+    exact = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_kmers").alias("n"), F.first("sketches").alias("sketches"), F.first("rests").alias("rests")), "distinct-texts")
+    way = lambda h, j: F.struct(j.alias("j"), h.alias("h"))
+    ways = F.concat(F.transform("sketches", way), F.transform("rests", lambda h: way(h, F.lit(-1))))
+    bucket = exact.select("rep", "n", F.explode(ways).alias("way")).select("rep", "n", "way.j", "way.h")
     many = bucket.groupBy("j", "h").agg(F.count("*").alias("many")).where("many > 1")
     bucket = written(bucket.join(many, ["j", "h"]), "buckets")
     # 1: everyone against the centre of its bucket: the member with most company, likely the text that the rest vary

@@ -108,6 +108,33 @@ def test_cloud_of_near_copies(spark):
                 assert brute_similarity(words[a], words[b]) < 0.8
 
 
+def test_near_duplicates_of_few_words(spark):
+    """Every pair of short texts at the threshold meets: one or two words less at an end, in the middle or replaced."""
+    rows, pairs = [], []
+    for n in (8, 9, 10, 11, 12, 13, 14, 15):
+        for v in range(40):
+            w = [f"n{n}v{v}w{i}" for i in range(n)]
+            for other in (w[1:], w[:-1], w[2:], w[:-2], w[1:-1], [*w, "more"], ["other", *w[1:]], [*w[:-1], "other"]):
+                if brute_similarity(w, other) >= 0.8:
+                    pairs.append((len(rows), len(rows) + 1))
+                    rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(x if x not in ("other", "more") else f"{x}{len(rows)}" for x in other))]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()}
+    assert len(pairs) > 1000 and not [p for p in pairs if got[p[0]] != got[p[1]]]
+
+
+def test_rests_meet_in_every_case():
+    rnd = random.Random(12)
+    for _ in range(4000):
+        a = [rnd.randrange(9) for _ in range(rnd.randrange(1, 13))]
+        b = list(a)
+        for _ in range(rnd.randrange(3)):
+            i = rnd.randrange(len(b) + 1)
+            b[i : i + rnd.randrange(2)] = [rnd.randrange(9)] * rnd.randrange(2)
+        x, y = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+        if b and min(len(a), len(b)) <= near_dedup.FEW and near_dedup.similarity(x, y):
+            assert set(near_dedup.rests(x)) & set(near_dedup.rests(y))
+
+
 def test_banded_alignment():
     rnd = random.Random(3)
     for _ in range(600):
