@@ -27,14 +27,17 @@ SYLLABLES = {
 ENDINGS = {"latin": {"f": "na", "m": "nor", "n": "lin"}, "cyrillic": {"f": "на", "m": "нор", "n": "лин"}, "greek": {"f": "να", "m": "νος", "n": "λις"}}
 
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
-#: Each kind's pattern; the first that matches at a place wins.
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9A-Za-z])"
+#: Each kind's pattern; the first that matches at a place wins. A card ends before a group that starts an ssn or a
+#: phone, so it can't take them along in a row of numbers.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])[2-6](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9A-Za-z])",
+    "ssn": _SSN,
+    "phone": _PHONE,
+    "card": rf"(?<![0-9A-Za-z])[2-6](?:[ -]?(?!{_SSN}|{_PHONE})[0-9]){{12,18}}(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}])(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? (?:{_NAME} ){{0,2}}{_NAME}",
 }
 KINDS = tuple(PATTERNS)

@@ -360,6 +360,17 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(frame(spark, [])).count() == 0
 
 
+def test_surrogates_in_rows_of_numbers(spark):
+    ssns, phones = ("234-56-7890", "123-45-6789"), ("415-555-2671", "415-555-2672")
+    rows = ["Call 415-555-2671 2024", "415-555-2671 415-555-2672", "234-56-7890 123-45-6789", "2024 415-555-2671", "2 415-555-2671 20 31", "5 234-56-7890 2024", "3 234-56-7890 415-555-2672 4111 1111 1111 1111", "4111 1111 1111 1111 415-555-2671"]
+    got = {r.doc_id: r for r in surrogates.pseudonymise(frame(spark, list(enumerate(rows)))).collect()}
+    for i, t in enumerate(rows):
+        real = [x for x in (*ssns, *phones, "4111 1111 1111 1111") if x in t]
+        assert not [x for x in real if x in got[i].text], t
+        assert sorted(got[i].entity_kinds) == sorted("ssn" if x in ssns else "phone" if x in phones else "card" for x in real)
+    assert got[3].text.startswith("2024 ") and got[0].text.endswith(" 2024")
+
+
 def test_surrogates_stay_distinct(spark):
     """In a space so small that hashes collide: all of 60 four-digit-like surnames."""
     ents = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(300)] + [("surname", f"n{i}") for i in range(300)], "kind string, canon string")
