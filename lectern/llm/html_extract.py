@@ -70,23 +70,27 @@ def tokens(page: str):
             yield "close", name, None
 
 
-def _marked(name: str, attrs: dict[str, str]) -> tuple[bool, bool, bool]:
-    """(boilerplate, site header, main container) of an element."""
+def _marked(name: str, attrs: dict[str, str]) -> tuple[bool, bool, bool, bool]:
+    """(never text, boilerplate by a word, site header, main container) of an element."""
     words = set(_PIECES.split(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower()))
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     main = name in ("article", "main") or bool(words & _MAIN)
-    off = name in _NEVER or hidden or bool(words & _MARKS)
-    return off, name == "header" or bool(words & _SITE_HEAD), main and not off
+    never, whole = name in _NEVER or hidden, name in ("html", "body")
+    return never, bool(words & _MARKS) and not whole, name == "header" or bool(words & _SITE_HEAD) and not whole, main and not never
 
 
 class Page:
     """Walks a page once: blocks of text with what their elements say, and its template tokens."""
 
     def __init__(self, page: str, want_tokens: bool = False) -> None:
-        #: (text, inside a main container: 0 none, 1 by class, 2 main, 3 article; path) of each block outside boilerplate
+        #: (text, inside a main container: 0 none, 1 by class, 2 main or article; path) of each block outside boilerplate
         self.blocks: list[tuple[str, int, str]] = []
+        self._raw: list[tuple[str, int, str, tuple]] = []
+        #: Places of elements that a word marks; those around a main element, and around other containers by level.
+        marks, free, around = (), set(), {1: set(), 2: set()}
         self.counts: dict[tuple[str, str], int] = {}
-        stack: list[tuple[str, bool, int, str]] = []  # name, off, main, path
+        stack: list[tuple[str, bool, int, str, tuple]] = []  # name, off, main, path, marks
+        seen = 0
         self._parts: list[str] = []
         off, main, path = False, 0, ""
         for kind, value, attrs in tokens(page):
@@ -106,23 +110,28 @@ class Page:
                     stack = self._close(self._close(stack, "dt", ("dl",)), "dd", ("dl",))
                 elif value in ("tr", "td", "th", "option"):
                     stack = self._close(stack, value, ("table",))
-                off, main, path = (stack[-1][1:]) if stack else (False, 0, "")
+                off, main, path, marks = (stack[-1][1:]) if stack else (False, 0, "", ())
                 if value in _BLOCKS:
-                    self._flush(main, path, off)
+                    self._flush(main, path, off, marks)
                 else:
                     self._parts.append(" " if value in ("br", "td", "th") else "")
                 a = _attributes(attrs) if attrs and "=" in attrs or attrs and "hidden" in attrs else {}
-                own, head, holds = _marked(value, a)
+                own, word, head, holds = _marked(value, a)
                 sign = value + ("." + a["class"] if a.get("class") else "")
                 if want_tokens:
                     self.counts[path, f"<{sign}>"] = self.counts.get((path, f"<{sign}>"), 0) + 1
                 if value in _VOID or (attrs or "").rstrip().endswith("/") and value not in _BLOCKS:
                     continue
-                level = 3 if value == "article" and holds else 2 if (value == "main" or a.get("role") == "main") and holds else 1 if holds and value in _BLOCKS else 0
-                stack.append((value, off or own or (head and not main), max(main, level), f"{path}/{sign}"))
+                named = value == "main" or a.get("role") == "main"
+                level = 2 if (value == "article" or named) and holds else 1 if holds and value in _BLOCKS else 0
+                seen += 1
+                inner = (*marks, seen) if word or (head and not main) else marks
+                if level and not off:
+                    (free if named else around[level]).update(inner)
+                stack.append((value, off or own, max(main, level), f"{path}/{sign}", inner))
             else:
                 if value in _BLOCKS:
-                    self._flush(main, path, off)
+                    self._flush(main, path, off, marks)
                 elif value in ("td", "th"):
                     self._parts.append(" ")
                 if any(s[0] == value for s in stack):
@@ -131,8 +140,15 @@ class Page:
                     if want_tokens:
                         above = stack[-1][3] if stack else ""
                         self.counts[above, f"</{value}>"] = self.counts.get((above, f"</{value}>"), 0) + 1
-            off, main, path = (stack[-1][1:]) if stack else (False, 0, "")
-        self._flush(main, path, off)
+            off, main, path, marks = (stack[-1][1:]) if stack else (False, 0, "", ())
+        self._flush(main, path, off, marks)
+
+        # a word doesn't switch off what holds the main element; nor other containers, if nothing else has text
+        for more in (free, around[2], around[1]):
+            free |= more
+            self.blocks = [(t, m, p) for t, m, p, marks in self._raw if free.issuperset(marks)]
+            if self.blocks:
+                break
 
     @staticmethod
     def _close(stack, name, stop):
@@ -143,12 +159,12 @@ class Page:
                 break
         return stack
 
-    def _flush(self, main: int, path: str, off: bool) -> None:
+    def _flush(self, main: int, path: str, off: bool, marks: tuple) -> None:
         if self._parts:
             text = "" if off else " ".join(_html.unescape("".join(self._parts)).split())
             self._parts = []
             if text:
-                self.blocks.append((text, main, path))
+                self._raw.append((text, main, path, marks))
 
 
 def token_hash(path: str, token: str) -> int:
@@ -174,17 +190,15 @@ def classes(found: dict[int, int], least: int = LEAST_CLASS) -> dict[int, int]:
 def extract(html: str | None, template: set[int] | None = None) -> str:
     """The main text of a page: blocks joined by newlines. template: hashes of the host's fixed tokens.
 
-    The slots of the innermost kind of main container that has text count (article, then main, then an element
-    named so); without one, all slots outside boilerplate whose words aren't all the template's own.
+    Where text stands in main or article elements, their slots count, else all slots outside boilerplate; names of
+    classes set nothing apart. On every page slots go whose words are all the template's own.
     """
     if not html:
         return ""
     page = Page(html)
-    best = max((m for _, m, _ in page.blocks), default=0)
-    if best:
-        return "\n".join(t for t, m, _ in page.blocks if m == best)
+    inside = max((m for _, m, _ in page.blocks), default=0) == 2
     fixed = template or ()
-    return "\n".join(t for t, _, path in page.blocks if not fixed or not all(token_hash(path, w) in fixed for w in t.split()))
+    return "\n".join(t for t, m, path in page.blocks if (m == 2 or not inside) and not (fixed and all(token_hash(path, w) in fixed for w in t.split())))
 
 
 def templates(pages: DataFrame) -> DataFrame:

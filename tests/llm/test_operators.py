@@ -281,6 +281,22 @@ def test_main_text(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<main><h1>T</h1><p>body</p><article class=teaser>x</article></main>", "T\nbody\nx"),
+        ('<div><p class="content">lead</p><p>rest</p></div>', "lead\nrest"),
+        ('<body class="has-sidebar"><p>text</p></body>', "text"),
+        ('<html class="cookie-banner"><body><p>text</p></body></html>', "text"),
+        ('<div class="has-sidebar"><main><p>text</p></main><p>side</p></div><p>stray</p>', "text"),
+        ('<div class="has-sidebar"><article><p>text</p></article></div>', "text"),
+        ('<p>text</p><section id="comments"><article>reader</article></section>', "text"),
+    ],
+)
+def test_main_text_by_names(html, want):
+    assert html_extract.extract(html) == want
+
+
 def test_template_classes_by_brute_force(spark):
     rnd = random.Random(4)
     rows = [(i, "http://h.example/x", page(f"<h1>{prose(rnd, 3)}</h1>" + "".join(f"<p>{prose(rnd, 9)}</p>" for _ in range(rnd.randrange(1, 5))))) for i in range(9)]
