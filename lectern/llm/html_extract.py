@@ -2,9 +2,10 @@
 
 A page is a sequence of tokens: tags and words, each with its path of open elements. Over the pages of a host, a
 token's occurrence vector is its count in each page; vectors are held as keyed sums, which add up across tasks, so
-no task sees all pages of a host. Tokens in every page with equal vectors form a class; a class is valid if it has
-several tokens and keeps one order. The valid classes, nested by their paths, are the template; what stands between
-its tokens are slots, and the main text is what remains of them without the page's boilerplate elements.
+no task sees all pages of a host. A block of text is a token too, of all its words in their order. Tokens in every
+page with equal vectors form a class; a class counts if it has several tokens. Blocks that are tokens of such classes
+are fixed; the others are slots, and the main text is what remains of them without the page's boilerplate elements.
+The order of a class's tokens among each other and the nesting of classes are not checked.
 """
 
 from __future__ import annotations
@@ -149,6 +150,9 @@ class Page:
             self.blocks = [(t, m, p) for t, m, p, marks in self._raw if free.issuperset(marks)]
             if self.blocks:
                 break
+        if want_tokens:
+            for text, _, path in self.blocks:
+                self.counts[path, block_token(text)] = self.counts.get((path, block_token(text)), 0) + 1
 
     @staticmethod
     def _close(stack, name, stop):
@@ -167,16 +171,22 @@ class Page:
                 self._raw.append((text, main, path, marks))
 
 
+def block_token(text: str) -> str:
+    """The token of a whole block: no word or tag has a space in front."""
+    return " " + text
+
+
 def token_hash(path: str, token: str) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest(f"{path}\x1f{token}".encode("utf-8", "surrogatepass")) & (_MASK >> 1)
 
 
-def page_key(page_id, html: str) -> int:
+def page_key(html: str) -> int:
+    """Equal for equal payloads: copies of a page add multiples of the same terms, which leave equal vectors equal."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(f"{page_id}\x1f".encode() + html.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_64_intdigest(html.encode("utf-8", "surrogatepass"))
 
 
 def classes(found: dict[int, int], least: int = LEAST_CLASS) -> dict[int, int]:
@@ -191,48 +201,48 @@ def extract(html: str | None, template: set[int] | None = None) -> str:
     """The main text of a page: blocks joined by newlines. template: hashes of the host's fixed tokens.
 
     Where text stands in main or article elements, their slots count, else all slots outside boilerplate; names of
-    classes set nothing apart. On every page slots go whose words are all the template's own.
+    classes set nothing apart. On every page blocks go that are the template's own, words and order.
     """
     if not html:
         return ""
     page = Page(html)
     inside = max((m for _, m, _ in page.blocks), default=0) == 2
     fixed = template or ()
-    return "\n".join(t for t, m, path in page.blocks if (m == 2 or not inside) and not (fixed and all(token_hash(path, w) in fixed for w in t.split())))
+    return "\n".join(t for t, m, path in page.blocks if (m == 2 or not inside) and not (fixed and token_hash(path, block_token(t)) in fixed))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, n_pages, tokens, token_classes): the valid classes of each host with at least LEAST_PAGES pages.
+    """(host, n_pages, tokens, token_classes): the classes of each host with at least LEAST_PAGES different pages (n_pages).
 
     A task keeps for each host only what all its pages there have; what is in every page of the host is in every
     page of each task, so nothing that counts is lost, and a host is as many rows as tasks.
     """
-    schema = pa.schema([("host", pa.string()), ("n_pages", pa.int64()), ("tokens", pa.list_(pa.int64())), ("sums", pa.list_(pa.decimal128(20, 0)))])
+    schema = pa.schema([("host", pa.string()), ("tokens", pa.list_(pa.int64())), ("sums", pa.list_(pa.decimal128(20, 0)))])
 
     def run(batches):
         held: dict[str, list] = {}
         for b in batches:
-            for host, page_id, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for host, html in zip(b.column(0).to_pylist(), b.column(1)):
                 html = html.as_py() or ""
-                counts, key = Page(html, want_tokens=True).counts, page_key(page_id, html)
-                h = held.setdefault(host, [0, None])
-                h[0] += 1
-                h[1] = {t: (n * key) & _MASK for t, n in counts.items()} if h[1] is None else {t: (s + counts[t] * key) & _MASK for t, s in h[1].items() if t in counts}
-        rows = [(host, n, [token_hash(*t) for t in sums], list(sums.values())) for host, (n, sums) in held.items()]
+                counts, key = Page(html, want_tokens=True).counts, page_key(html)
+                h = held.setdefault(host, [None])
+                h[0] = {t: (n * key) & _MASK for t, n in counts.items()} if h[0] is None else {t: (s + counts[t] * key) & _MASK for t, s in h[0].items() if t in counts}
+        rows = [(host, [token_hash(*t) for t in sums], list(sums.values())) for host, (sums,) in held.items()]
         for at in range(0, len(rows), 256):
             yield _rows(rows[at : at + 256], schema)
 
     def merge(rows: pa.Table) -> pa.Table:
-        n, sums = 0, None
-        for k, ts, vs in zip(rows.column("n_pages").to_pylist(), rows.column("tokens").to_pylist(), rows.column("sums").to_pylist()):
+        n, sums = rows.column("n_pages")[0].as_py(), None
+        for ts, vs in zip(rows.column("tokens").to_pylist(), rows.column("sums").to_pylist()):
             new = {t: int(v) for t, v in zip(ts, vs)}
-            n += k
             sums = new if sums is None else {t: (v + new[t]) & _MASK for t, v in sums.items() if t in new}
         got = classes(sums or {}) if n >= LEAST_PAGES else {}
         out = pa.schema([("host", pa.string()), ("n_pages", pa.int64()), ("tokens", pa.list_(pa.int64())), ("token_classes", pa.list_(pa.int32()))])
         return pa.Table.from_batches([_rows([(rows.column("host")[0].as_py(), n, sorted(got), [got[t] for t in sorted(got)])], out)])
 
-    seen = _with_host(pages).select("host", "page_id", "html").mapInArrow(run, "host string, n_pages long, tokens array<long>, sums array<decimal(20,0)>")
+    own = _with_host(pages).select("host", "html")
+    different = own.groupBy("host").agg(F.count_distinct(F.xxhash64(F.coalesce("html", F.lit("")))).alias("n_pages"))
+    seen = own.mapInArrow(run, "host string, tokens array<long>, sums array<decimal(20,0)>").join(different, "host")
     return seen.groupBy("host").applyInArrow(merge, "host string, n_pages long, tokens array<long>, token_classes array<int>")
 
 

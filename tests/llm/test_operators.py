@@ -297,6 +297,15 @@ def test_main_text_by_names(html, want):
     assert html_extract.extract(html) == want
 
 
+def test_template_takes_whole_blocks_of_different_pages(spark):
+    rows = [(i, "http://copies.example/", "<body><p>one text</p><p>another text here</p></body>") for i in range(3)]
+    rows += [(10 + i, "http://words.example/", f"<body><p>{t}</p><p>Fixed <a>linked words</a></p><div>own {i}</div></body>") for i, t in enumerate(("red green blue", "blue red green", "green blue red"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert [got[i] for i in range(3)] == ["one text\nanother text here"] * 3
+    assert [got[10 + i] for i in range(3)] == ["red green blue\nown 0", "blue red green\nown 1", "green blue red\nown 2"]
+
+
 def test_template_classes_by_brute_force(spark):
     rnd = random.Random(4)
     rows = [(i, "http://h.example/x", page(f"<h1>{prose(rnd, 3)}</h1>" + "".join(f"<p>{prose(rnd, 9)}</p>" for _ in range(rnd.randrange(1, 5))))) for i in range(9)]
