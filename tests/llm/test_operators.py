@@ -297,7 +297,7 @@ def test_main_text_by_names(html, want):
     assert html_extract.extract(html) == want
 
 
-def test_template_takes_whole_blocks_of_different_pages(spark):
+def test_template_takes_fixed_elements_of_different_pages(spark):
     rows = [(i, "http://copies.example/", "<body><p>one text</p><p>another text here</p></body>") for i in range(3)]
     rows += [(10 + i, "http://words.example/", f"<body><p>{t}</p><p>Fixed <a>linked words</a></p><div>own {i}</div></body>") for i, t in enumerate(("red green blue", "blue red green", "green blue red"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
@@ -306,17 +306,141 @@ def test_template_takes_whole_blocks_of_different_pages(spark):
     assert [got[10 + i] for i in range(3)] == ["red green blue\nown 0", "blue red green\nown 1", "green blue red\nown 2"]
 
 
+def site(rnd, i, box="article", named=True, optional=False):
+    """A page and its article's text: menus, rotating adverts, comments and footers around articles of any length."""
+    cls = lambda x: f' class="{x}"' if named else ""
+    paras = [prose(rnd, rnd.randrange(3, 40)) for _ in range(rnd.randrange(2, 9))]
+    body = f"<h1>{prose(rnd, 4)} {i}</h1>" + "".join(f"<p>{p}</p>" for p in paras)
+    text = re.sub(r"</?(h1|p)>", "\n", body)
+    inner = ""
+    if optional and i % 3 == 0:
+        inner = '<p class="search-theory">binary search text</p><div class="form">verse form</div>'
+        text += "binary search text\nverse form"
+    return (
+        f"<html><head><title>{i}</title><style>p {{}}</style></head><body><div{cls('menu')}><ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in prose(rnd, 5).split())
+        + f"</ul></div><div{cls('ad')}>{prose(rnd, 6)}</div><{box}>{body}{inner}</{box}><div{cls('box')}><p>Reader comments</p>"
+        + "".join(f"<p>{prose(rnd, 2)}</p>" for _ in range(rnd.randrange(0, 3))) + f"</div><div{cls('legal')}>&copy; Acme {prose(rnd, 3)}</div></body></html>",
+        "\n".join(x for x in text.split("\n") if x),
+    )
+
+
+@pytest.mark.parametrize(("box", "named", "optional"), [("article", True, False), ("div", False, False), ("div", True, True), ("section", False, True)])
+def test_template_finds_the_article_without_names(spark, box, named, optional):
+    rnd = random.Random(11)
+    pages = [site(rnd, i, box, named, optional) for i in range(24)]
+    df = spark.createDataFrame([(i, f"https://site.example/{i}", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert [got[i] for i in range(24)] == [t for _, t in pages]
+
+
+def brute_main_text(pages):
+    """The whole extraction of one group's pages in memory, from the definitions: vectors are tuples of counts."""
+    H = html_extract
+    parsed = [H.Page(h) for h in pages]
+    counts = [p.counts() for p in parsed]
+    both = set.intersection(*(set(c) for c in counts))
+    vector = {t: tuple(c[t] for c in counts) for t in both}
+    ref = list(parsed[min(range(len(pages)), key=lambda i: H.page_key(pages[i]))].ordered())
+    root, seen = [], collections.Counter()
+    for t in ref:
+        if t in both and len(set(vector[t])) == 1:
+            root.append((t, seen[t]))
+            seen[t] += 1
+    place = {d: i for i, d in enumerate(root)}
+
+    def kept(p):
+        """Stream place of what is in the root class and keeps its order: tags by root place, characters of words by block."""
+        n, found = collections.Counter(), []
+        for at, t in enumerate(p.stream):
+            for u in [t] if isinstance(t, str) else [f"{p.blocks[t][1]} {w}" for w in p.blocks[t][0].split()]:
+                if (u, n[u]) in place:
+                    found.append((place[u, n[u]], at, u))
+                n[u] += 1
+        best = [(1, -1)] * len(found)
+        for i in range(len(found)):
+            for j in range(i):
+                if found[j][0] < found[i][0] and best[j][0] + 1 > best[i][0]:
+                    best[i] = (best[j][0] + 1, j)
+        assert max(b[0] for b in best) == len(H.rising([f[0] for f in found]))
+        return [found[i] for i in sorted(H.rising([f[0] for f in found]))]
+
+    keeps = [kept(p) for p in parsed]
+    pairs = []
+    for p, k in zip(parsed, keeps):
+        at = {a: r for r, a, u in k if u[0] in "<>"}
+        elements = [(at[a], at[z], a, z) for a, z, *_ in p.elements if a in at and z in at]
+        around = lambda x: max((e for e in elements if e[2] < x[2] and x[3] < e[3]), key=lambda e: e[2], default=(-1, -1, 0, 0))[0]  # noqa: E731, B023
+        pairs.append({(e[0], e[1], around(e)): (e[2], e[3]) for e in elements})
+    valid = set.intersection(*(set(x) for x in pairs))
+    every = [{(-1, -1, -2): (-1, len(p.stream))} | {v: x[v] for v in valid} for p, x in zip(parsed, pairs)]
+    stats = collections.defaultdict(lambda: [0] * 7)
+    for p, k, spans in zip(parsed, keeps, every):
+        stats[2, 0, 0, 0][0] += 1
+        words = collections.Counter()
+        for _, a, u in k:
+            words[a] += 0 if u[0] in "<>" else len(u.rsplit(" ", 1)[1])
+        names = {e[0]: e[2] for e in p.elements}
+        for v, (a, z) in spans.items():
+            s = stats[0, v[0], v[1], v[2]]
+            s[0] += 1
+            s[6] += bool(names.get(a))
+            for at in range(max(a, 0), z):
+                if isinstance(t := p.stream[at], int):
+                    text, _, linked, head = p.blocks[t]
+                    n = len(text.replace(" ", ""))
+                    fixed = min(words[at], n - linked)
+                    for c, x in ((1, n - linked - fixed), (2, linked), (3, fixed), (4, 1), (5, head * (n - linked - fixed))):
+                        s[c] += x
+    nested = collections.defaultdict(list)
+    for t in dict.fromkeys(ref):
+        if t in both and len(set(vector[t])) > 1:
+            nested[vector[t]].append(t)
+    for g, ts in enumerate(x for x in nested.values() if len(x) > 1):
+        where = set()
+        for p, spans in zip(parsed, every):
+            run = [(t, max((v for v, (a, z) in spans.items() if a < at < z), key=lambda v: spans[v][0])[0]) for at, t in enumerate(p.stream) if t in ts]
+            where |= {w for _, w in run} if [t for t, _ in run] == ts * (len(run) // len(ts)) else {None, -9}
+        if len(where) == 1:
+            stats[1, g, 0, where.pop()][0] = len(pages)
+    begin, end, skip = H.choose(dict(stats))
+    out = []
+    for p, spans in zip(parsed, every):
+        a, z = next(x for v, x in spans.items() if (v[0], v[1]) == (begin, end))
+        off = [x for v, x in spans.items() if v[0] in skip]
+        out.append("\n".join(p.blocks[t][0] for at, t in enumerate(p.stream) if isinstance(t, int) and a < at < z and not any(b < at < e for b, e in off)))
+    return out
+
+
+def test_whole_extraction_by_brute_force(spark):
+    rnd = random.Random(6)
+    rows = []
+    for host, (box, named) in enumerate((("article", True), ("div", False), ("main", True))):
+        for i in range(9):
+            h, _ = site(rnd, i, box, named)
+            if host == 1 and i == 4:  # one page has the parts in another order
+                h = re.sub(r"(<div>[^<]*</div>)(<div><h1>.*?</div>)", r"\2\1", h)
+            rows.append((100 * host + i, f"http://h{host}.example/x", h))
+        rows.append((100 * host + 50, f"http://h{host}.example/x", rows[-1][2]))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    for host in range(3):
+        ids = [i for i, _, _ in rows if i // 100 == host]
+        assert [got[i] for i in ids] == brute_main_text([h for i, _, h in rows if i // 100 == host])
+
+
 def test_template_classes_by_brute_force(spark):
     rnd = random.Random(4)
     rows = [(i, "http://h.example/x", page(f"<h1>{prose(rnd, 3)}</h1>" + "".join(f"<p>{prose(rnd, 9)}</p>" for _ in range(rnd.randrange(1, 5))))) for i in range(9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
-    (got,) = html_extract.templates(df).collect()
-    counts = [html_extract.Page(h, want_tokens=True).counts for _, _, h in rows]
-    vectors_ = collections.defaultdict(list)
+    (got,) = html_extract.templates(html_extract.grouped(df)).collect()
+    counts = [html_extract.Page(h).counts() for _, _, h in rows]
+    vectors_ = collections.defaultdict(set)
     for t in set.intersection(*(set(c) for c in counts)):
-        vectors_[tuple(c[t] for c in counts)].append(html_extract.token_hash(*t))
-    want = {t for ts in vectors_.values() if len(ts) > 1 for t in ts}
-    assert set(got.tokens) == want and got.n_pages == 9
+        vectors_[tuple(c[t] for c in counts)].add(html_extract.token_hash(t))
+    root = {(t, k) for v, ts in vectors_.items() if len(set(v)) == 1 for t in ts for k in range(v[0])}
+    nested = [ts for v, ts in vectors_.items() if len(set(v)) > 1 and len(ts) > 1]
+    assert set(zip(got.root, got.ks)) == root and len(got.root) == len(root)
+    assert sorted(map(sorted, nested)) == sorted(sorted(t for t, c in zip(got.nested, got["class"]) if c == g) for g in set(got["class"]))
 
 
 def test_quality(spark, texts):
