@@ -67,7 +67,11 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
     spans = [_placed(_window_hashes(F.col("_hashes"), n), n) for n in sorted(sizes)]
     # a row of its own for each document, with a key of its own: in a shuffled join they don't meet in one task
     mark = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.xxhash64("_row").alias("h")))
-    rows = docs.select("_row", *keep, "_words", F.size("_words").cast("long").alias("_n_words"), F.explode(F.concat(mark, *spans)).alias("_w"))
+    # the windows are a column before they are exploded: the explode is then compiled with the join, and a window's row
+    # points into its document's words instead of copying them. Never empty; the outer form spares an inferred filter on
+    # its size, which would compute all hashes anew for each window
+    docs = docs.withColumn("_spans", F.concat(mark, *spans))
+    rows = docs.select("_row", *keep, "_words", F.size("_words").cast("long").alias("_n_words"), F.explode_outer("_spans").alias("_w"))
     rows = rows.select("_row", *keep, "_words", "_n_words", F.col("_w.pos").alias("_pos"), F.col("_w.n").alias("_n"), F.col("_w.h").alias("_h"))
     bench = bench.select(F.col("window_hash").alias("_bh"), F.col("window_words").alias("_bw"), F.col("items").alias("_items"))
     own = F.slice("_words", F.greatest(F.col("_pos"), F.lit(0)) + 1, F.greatest(F.col("_n"), F.lit(1)))
@@ -76,8 +80,9 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
     else:
         # a window is moved with its own words, not with all of its document's
         rows, own = rows.withColumn("_own", own).drop("_words"), F.col("_own")
-    # only for equal hashes are the words themselves compared
-    hits = rows.join(bench, (F.col("_h") == F.col("_bh")) & (F.col("_pos") >= 0) & (own == F.col("_bw")), "left").where("_pos < 0 or _items is not null")
+    # only for equal hashes are the words themselves compared: two inequalities, as an equality would be a join key
+    # that is built for every window
+    hits = rows.join(bench, (F.col("_h") == F.col("_bh")) & (F.col("_pos") >= 0) & (own <= F.col("_bw")) & (own >= F.col("_bw")), "left").where("_pos < 0 or _items is not null")
     hit = F.when(F.col("_pos") >= 0, F.struct(F.col("_pos").alias("pos"), F.col("_n").alias("n"), F.col("_items").alias("items")))
     return hits.groupBy("_row", *keep, "_n_words").agg(F.collect_list(hit).alias("_hits"))
 
@@ -91,29 +96,53 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return s.select("doc_id", "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), (F.size("_items") >= least_items).alias("contaminated"))
 
 
+def _runs(hit):
+    """struct(a, z) of each run of adjacent positions in a sorted array of distinct ones; z is exclusive."""
+    starts = F.filter(hit, lambda x, i: (i == 0) | (F.get(hit, i - 1) != x - 1))
+    ends = F.filter(hit, lambda x, i: (i == F.size(hit) - 1) | (F.get(hit, i + 1) != x + 1))
+    return F.zip_with(starts, ends, lambda a, z: F.struct(a.alias("a"), (z + 1).alias("z")))
+
+
+def _without(words_, breaks, runs):
+    """The text without runs of words. It is break, word, break ... word, break; what stands between two words of a
+    run goes with them, the break before a run becomes a space, and the one after it stays."""
+    n = F.size(words_)
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("z"))), runs, F.array(F.struct(n.alias("a"), n.alias("z"))))
+
+    def kept(i):
+        begin, end = F.get(edges, i)["z"], F.get(edges, i + 1)["a"]
+        tail = F.when(end < n, F.lit(" ")).otherwise(F.get(breaks, n))
+        after = F.concat(F.slice(breaks, begin + 2, end - begin - 1), F.array(tail))
+        some = F.array_join(F.zip_with(F.slice(words_, begin + 1, end - begin), after, lambda w, b: F.concat(w, b)), "")
+        return F.concat(F.get(breaks, begin), F.when(end > begin, some).otherwise(F.lit("")))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), kept), "")
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = 2, most_hit: float = 0.5) -> DataFrame:
     """documents without rows that hold least_items benchmark items or are hit in over most_hit of their words;
-    in the others hit words, with what stands between two hit words, are cut out. Rows without hits stay as they are.
+    in the others hit words, with what stands between two hit words, are cut out. Rows without hits stay as they are;
+    columns other than text and n_chars are carried as they come, whatever their names.
     """
     cols = documents.columns
-    keyed = documents.withColumn("_key", F.xxhash64(F.lit("key"), "doc_id", "text"))
-    s = scan(keyed, benchmark, window, keep=("_key",)).where(F.size("_hits") > 0).dropDuplicates(["_key"])  # equal keys have equal hits
+    # a row is known by a digest of doc_id and text: rows that share it have equal hits
+    key = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("-"))), 256)
+    keyed = documents.select(F.struct("*").alias("doc"), key.alias("key"))
+    s = scan(keyed.select("key", F.col("doc.text").alias("text")), benchmark, window, keep=("key",)).where(F.size("_hits") > 0).dropDuplicates(["key"])
     n_items = F.size(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"]))))
-    covered = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["pos"], h["pos"] + h["n"] - 1))))
-    s = s.select("_key", covered.alias("_hit"), n_items.alias("_n_items"), "_n_words")
-    s = written(s.select("_key", F.when((F.col("_n_items") < least_items) & (F.size("_hit") <= F.lit(most_hit) * F.col("_n_words")), F.col("_hit")).alias("_hit"), F.lit(True).alias("_found")), "benchmark-hits")
-    small = (s.agg(F.sum(F.size("_hit"))).first()[0] or 0) <= 50 * BROADCAST_ROWS
-    s = join_checked(keyed, s, "_key") if small else keyed.join(s, "_key", "left")
-    s = s.where("_found is null or _hit is not null").withColumn("_hit", F.coalesce("_hit", F.array().cast("array<int>")))
-    # the text is word, break, word, break ...; breaks[0] stands before the first word
-    lower = F.translate(F.col("text"), UPPER, LOWER)
-    breaks = F.split(lower, WORD, -1)
-    texts = F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    some = F.size("_hit") > 0
-    marked = s.select(*cols, "_hit", F.when(some, texts).alias("_t"), F.when(some, breaks).alias("_b"))
-    piece = F.transform("_t", lambda w, i: F.when(F.array_contains("_hit", i), F.lit("")).otherwise(F.concat(w, F.when(F.array_contains("_hit", i + 1), F.lit(" ")).otherwise(F.get("_b", i + 1)))))
-    last_break = F.transform("_t", lambda w, i: F.when(F.array_contains("_hit", i) & ~F.array_contains("_hit", i + 1), F.get("_b", i + 1)).otherwise(F.lit("")))
-    clean = F.concat(F.get("_b", F.lit(0)), F.array_join(F.zip_with(piece, last_break, lambda a, b: F.concat(a, b)), ""))
-    text = F.when(some, clean).otherwise(F.col("text"))
-    out = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in cols else {})
-    return marked.withColumns(out).select(*cols)
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["pos"], h["pos"] + h["n"] - 1)))))
+    s = s.select("key", covered.alias("hit"), n_items.alias("n_items"), "_n_words")
+    s = s.select("key", F.when((F.col("n_items") < least_items) & (F.size("hit") <= F.lit(most_hit) * F.col("_n_words")), _runs(F.col("hit"))).alias("runs"), F.lit(True).alias("found"))
+    s = written(s, "benchmark-hits")
+    small = (s.agg(F.sum(F.size("runs"))).first()[0] or 0) <= 50 * BROADCAST_ROWS
+    s = join_checked(keyed, s, "key") if small else keyed.join(s, "key", "left")
+    s = s.where("found is null or runs is not null")
+    original = F.col("doc.text")
+    some = F.col("found").isNotNull()
+    texts = F.regexp_extract_all(original, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    breaks = F.split(F.translate(original, UPPER, LOWER), WORD, -1)
+    s = s.select("doc", "runs", "found", F.when(some, texts).alias("words"), F.when(some, breaks).alias("breaks"))
+    text = F.when(some, _without(F.col("words"), F.col("breaks"), F.col("runs"))).otherwise(original)
+    s = s.select("doc", text.alias("text"))
+    out = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(documents.schema["n_chars"].dataType)} if "n_chars" in cols else {})
+    return s.select(*[out.get(c, F.col("doc").getField(c)).alias(c) for c in cols])
