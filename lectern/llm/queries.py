@@ -42,7 +42,7 @@ def op6_quality(spark, sf_dir):
 
 
 def op7_surrogates(spark, sf_dir):
-    return surrogates.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return surrogates.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), surrogates.session_key(spark))
 
 
 def op8_warc(spark, sf_dir):

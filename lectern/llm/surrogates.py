@@ -3,16 +3,23 @@
 Native: DataFrame functions only. One pattern finds the entities; the text between them stays. A surrogate is made
 from a keyed SHA-256 stream of the entity's canonical form, so one entity gets one surrogate everywhere
 (coreference). All distinct entities of the corpus are then checked: two with the same surrogate, or a surrogate
-that is itself an entity of the corpus, go on to another attempt until none is left (distinctness).
+that is itself an entity of the corpus, go on to another attempt until none is left (distinctness); collisions that
+are left after the last attempt are an error.
+
+Limits: a name is found where a title announces it; names without a title, postal addresses and dates of birth are no
+entities. Who has the key can make the surrogates of guessed values, so it is the caller's to keep.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import secrets as _random
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.llm.common import BROADCAST_ROWS, join_checked, written
 
-KEY = "lectern-surrogates"
+#: Where queries look for the key; without one, a run draws its own.
+KEY_SETTING = "spark.lectern.surrogates.key"
 ATTEMPTS = 40
 #: Titles that announce a name, by gender (fixed values).
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Mademoiselle", "Госпожа", "Κυρία")
@@ -134,7 +141,7 @@ def _made_name(kind: Column, canon: Column, stream: Column, attempt: Column) ->
     return F.initcap(out)
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form's replacement, of the same type."""
     domain = F.substring_index(canon, "@", -1)
     return _let(_made, kind=kind, canon=canon, attempt=attempt, s=_stream(kind, canon, attempt, key), d=F.when(kind == "email", _stream(F.lit("domain"), domain, F.lit(0), key)))
@@ -186,7 +193,7 @@ def _found(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(QUICK)), found).otherwise(F.array().cast("array<struct<value:string,kind:string>>"))
 
 
-def resolve(entities: DataFrame, key: str = KEY) -> DataFrame:
+def resolve(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogate isn't distinct; the others stay at attempt 0.
 
     entities: distinct (kind, canon). Of those that share a surrogate the smallest canon keeps it.
@@ -204,33 +211,40 @@ def resolve(entities: DataFrame, key: str = KEY) -> DataFrame:
         taken = made.join(real, ["space", "made"], "left_semi").select("kind", "canon")
         again = written(shared.union(taken).distinct(), "collisions")
         if again.isEmpty():
-            break
+            return now.where("attempt > 0").select("kind", "canon", "attempt")
         now = made.select("kind", "canon", "attempt").join(again.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
-    return now.where("attempt > 0").select("kind", "canon", "attempt")
+    left = [r.kind for r in again.select("kind").distinct().collect()]  # kinds are few
+    raise ValueError(f"surrogates of {', '.join(sorted(left))} still collide after {ATTEMPTS} attempts")
+
+
+def session_key(spark: SparkSession) -> str:
+    """The session's key, or a new one that no later run can make again."""
+    return spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING, None) or _random.token_hex(32)
 
 
-def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
     """documents with surrogates in text (n_chars follows), and n_entities, entity_kinds (one for each mention).
 
     Null text stays null, with no entities; texts without entities stay as they are. Repeated rows get equal
-    results. Columns n_entities and entity_kinds of the input are replaced.
+    results. Columns n_entities and entity_kinds of the input are replaced, all others carried as they come, whatever
+    their names.
     """
     cols = [c for c in documents.columns if c not in ("n_entities", "entity_kinds")]
-    keyed = documents.select(*cols).withColumn("_key", F.xxhash64(F.lit("pii"), "text")).withColumn("_found", _found(F.col("text")))
-    each = keyed.where(F.size("_found") > 0).select("_key", F.explode("_found").alias("v")).where("v.kind != 'number'").select("_key", F.explode(parts(F.col("v.kind"), F.col("v.value"))).alias("p"))
-    mentions = written(each.select("_key", "p.kind", "p.canon").distinct(), "pii-mentions")
+    keyed = documents.select(F.struct("*").alias("doc"), _found(F.col("text")).alias("found"))
+    keyed = keyed.withColumn("id", F.when(F.size("found") > 0, F.sha2("doc.text", 256)))
+    each = keyed.where(F.size("found") > 0).select("id", F.explode("found").alias("v")).where("v.kind != 'number'").select("id", F.explode(parts(F.col("v.kind"), F.col("v.value"))).alias("p"))
+    mentions = written(each.select("id", "p.kind", "p.canon").distinct(), "pii-mentions")
     odd = written(resolve(mentions.select("kind", "canon").distinct(), key), "pii-attempts")
-    tries = mentions.join(odd, ["kind", "canon"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias("_tries"))
+    tries = mentions.join(odd, ["kind", "canon"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias("tries"))
     tries = written(tries, "pii-tries")
-    small = (tries.agg(F.sum(F.size("_tries"))).first()[0] or 0) <= 5 * BROADCAST_ROWS
-    df = join_checked(keyed, tries, "_key") if small else keyed.join(tries, "_key", "left")
-    attempt = lambda p: F.coalesce(F.try_element_at("_tries", F.concat_ws("\x1f", p["kind"], p["canon"])), F.lit(0))
-    made = F.transform("_found", lambda v: _render(v["kind"], v["value"], F.transform(parts(v["kind"], v["value"]), lambda p: surrogate(p["kind"], p["canon"], attempt(p), key))))
-    gaps = F.split("text", ANY, -1)
-    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_made", i), F.lit("")))), "")
-    some = F.size("_found") > 0
-    df = df.withColumn("_made", F.when(some, made)).withColumn("_text", F.when(some, text).otherwise(F.col("text")))
-    kinds = F.when(some, F.filter(F.transform("_found", lambda v: v["kind"]), lambda k: k != "number")).otherwise(F.array().cast("array<string>"))
-    swapped = {"text": F.col("_text")} | ({"n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast("long")} if "n_chars" in cols else {})
-    df = df.select(*[swapped.get(c, F.col(c)).alias(c) for c in cols], kinds.alias("entity_kinds"))
-    return df.withColumn("n_entities", F.size("entity_kinds").cast("long"))
+    small = (tries.agg(F.sum(F.size("tries"))).first()[0] or 0) <= 5 * BROADCAST_ROWS
+    df = join_checked(keyed, tries, "id") if small else keyed.join(tries, "id", "left")
+    attempt = lambda p: F.coalesce(F.try_element_at("tries", F.concat_ws("\x1f", p["kind"], p["canon"])), F.lit(0))
+    made = F.transform("found", lambda v: _render(v["kind"], v["value"], F.transform(parts(v["kind"], v["value"]), lambda p: surrogate(p["kind"], p["canon"], attempt(p), key))))
+    some = F.size("found") > 0
+    df = df.withColumn("made", F.when(some, made)).withColumn("gaps", F.when(some, F.split("doc.text", ANY, -1)))
+    text = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("made", i), F.lit("")))), "")
+    kinds = F.when(some, F.filter(F.transform("found", lambda v: v["kind"]), lambda k: k != "number")).otherwise(F.array().cast("array<string>"))
+    df = df.select("doc", F.when(some, text).otherwise(F.col("doc.text")).alias("text"), kinds.alias("kinds"))
+    swapped = {"text": F.col("text")} | ({"n_chars": F.coalesce(F.length("text"), F.lit(0)).cast(documents.schema["n_chars"].dataType)} if "n_chars" in cols else {})
+    return df.select(*[swapped.get(c, F.col("doc").getField(c)).alias(c) for c in cols], F.col("kinds").alias("entity_kinds"), F.size("kinds").cast("long").alias("n_entities"))
