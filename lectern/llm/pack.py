@@ -72,33 +72,37 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(documents: DataFrame, path: str, end: int = 0, window: int = WINDOW) -> DataFrame:
-    """Pieces (doc_id, doc_tokens, start, length, ids, ids_crc32): each document's ids, then `end`, cut every
-    `window` ids. ids is little-endian unsigned 32-bit. Null text counts as empty: one piece, the end id alone.
+    """Pieces (doc_id, doc_tokens, start, length, ids, ids_crc32, row): each document's ids, then `end`, cut every
+    `window` ids. ids is little-endian unsigned 32-bit; row numbers the pieces, without order. Null text counts as
+    empty: one piece, the end id alone.
     """
 
     def run(batches):
-        enc = encoder(path)
+        from pyspark import TaskContext
+
+        enc, row = encoder(path), TaskContext.get().partitionId() << 36
         for b in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             size = 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.append(enc.ids(text.as_py() or ""), np.uint32(end)).astype("<u4")
                 for s in range(0, len(ids), window):
                     raw = ids[s : s + window].tobytes()
-                    for c, v in zip(out, (doc, len(ids), s, len(raw) // 4, raw, zlib.crc32(raw))):
+                    for c, v in zip(out, (doc, len(ids), s, len(raw) // 4, raw, zlib.crc32(raw), row)):
                         c.append(v)
+                    row += 1
                     size += len(raw)
                 if size > 4 << 20:
                     yield _pieces(out)
-                    out, size = [[] for _ in range(6)], 0
+                    out, size = [[] for _ in range(7)], 0
             if out[0]:
                 yield _pieces(out)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, start long, length long, ids binary, ids_crc32 long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, start long, length long, ids binary, ids_crc32 long, row long")
 
 
 def _pieces(out):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["doc_id", "doc_tokens", "start", "length", "ids", "ids_crc32"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["doc_id", "doc_tokens", "start", "length", "ids", "ids_crc32", "row"])
 
 
 def combinations(lengths: list[int], window: int = WINDOW) -> np.ndarray:
@@ -199,8 +203,9 @@ def pack(documents: DataFrame, path: str, window: int = WINDOW, end: int = 0) ->
     pieces = written(tokenize(documents, path, end, window), "pieces")
     total = pieces.count()
     buckets = max(1, total // BUCKET_ROWS)
-    # a rank needs its length's pieces in one order: buckets, each small, whose starts are sums of counts
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")
+    # a rank needs its length's pieces in one order: buckets, each small, whose starts are sums of counts. The row's own
+    # number deals them out, so null or repeated ids don't share a bucket, and breaks ties, so a rank is always the same
+    bucket = F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")
     pieces = pieces.withColumn("bucket", bucket)
     counts = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `window` rows
@@ -211,9 +216,9 @@ def pack(documents: DataFrame, path: str, window: int = WINDOW, end: int = 0) ->
     slots = spark.createDataFrame(slots or [(0, 0, 0, 0, 0, 0)], "slot_length long, first long, last long, sequence long, at long, stream long")
 
     # ids travel only where a cut may need them; the base of a (length, bucket) goes first in its group
-    narrow = pieces.select("length", "bucket", "doc_id", "start", "doc_tokens", "ids_crc32", F.when(F.col("length") < window, F.col("ids")).alias("ids"))
+    narrow = pieces.select("length", "bucket", "doc_id", "start", "row", "doc_tokens", "ids_crc32", F.when(F.col("length") < window, F.col("ids")).alias("ids"))
     narrow = narrow.join(counts.select("length", "bucket", "base"), ["length", "bucket"])
-    rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start")) - 1
+    rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy("row")) - 1
     ranked = narrow.withColumn("rank", F.col("base") + rank)
     # slots of one length: at most one a combination that holds it, so window squared / 4 rows at most
     placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
