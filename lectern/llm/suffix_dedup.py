@@ -6,9 +6,11 @@ window around them repeats. In each bucket the windows left are suffixes in an a
 passes of eight bytes order only as deep as `depth`; a pass drops what is alone in its group. After the last pass
 the groups are exactly the repeated windows, and the smallest doc_id of each decides.
 
-Documents are worked on in chunks (one an input task). A chunk sends each distinct context once, with its smallest
-doc_id, so a passage that a third of the corpus holds is as many rows as there are chunks. Texts are never
-shuffled: they are written once, bucketed by chunk, and what comes back is sent to the chunk.
+Documents are worked on in chunks (of one input task). A chunk sends each distinct context once, with its smallest
+doc_id, so a passage that a third of the corpus holds is as many rows as there are chunks. An anchor of many
+occurrences, whose contexts can all differ, is split by a further digit: its windows are dealt out one by one by what
+they hold, so no task gets all that surrounds a common phrase. Texts are never shuffled: they are written once,
+bucketed by chunk, and what comes back is sent to the chunk.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from lectern.llm.common import scratch_path, written
 DEPTH, PIECE = 50, 16
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 6 << 20
+#: Occurrences of an anchor beyond which its windows are dealt out one by one.
+HOT = 1000
+#: Files that the texts are written to at most (several chunks share one), and input bytes of a chunk, about.
+MOST_FILES, CHUNK_BYTES = 50_000, 32 << 20
 BLOCK = 1 << 20
 _U = np.uint64
 _VALUES = textvec.mix(np.arange(1, 257, dtype=_U))
@@ -112,37 +118,49 @@ def _by_bucket(h: np.ndarray, buckets: int):
 
 
 def _right(right: pa.Table):
-    """From a chunk's messages: doc_ids that are copies, shared hashes, and what came back by bucket."""
-    copies, shared, back = set(), [], {}
-    for kind, bucket, doc, blob in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "doc", "blob"))):
-        if kind == "copy":
-            copies.add(doc)
-        elif kind == "shared":
+    """From a chunk's messages: shared hashes, those of them that are hot, and what came back by bucket."""
+    shared, hot, back = [], [], {}
+    for kind, bucket, blob in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "blob"))):
+        if kind == "shared":
             shared.append(_unpack48(blob))
+        elif kind == "hot":
+            hot.append(_unpack48(blob))
         elif kind == "back":
             back[bucket] = blob
-    return copies, np.sort(np.concatenate(shared)) if shared else np.zeros(0, dtype=_U), back
+    joined = lambda x: np.sort(np.concatenate(x)) if x else np.zeros(0, dtype=_U)
+    return joined(shared), set(joined(hot).tolist()), back
 
 
-def _contexts(ids, texts, skip, shared, depth: int, buckets: int):
+def _contexts(ids, texts, skip, shared, hot, depth: int, buckets: int):
     """Distinct contexts around shared anchors, by bucket, and each run's place there.
 
-    Returns {bucket: list of (context, anchor offset, smallest id)} and [(document, first start, bucket, index)].
+    Returns {bucket: list of (context, anchor offset, smallest id)} and [(document, first start, bucket, index)]. Of
+    hot anchors each window is a context of its own, in a bucket that its bytes name.
     """
+    import xxhash
+
     table, known, runs = {}, {}, []
+
+    def add(key, b, doc, start):
+        rows = table.setdefault(b, [])
+        i = known.get(key)
+        if i is None:
+            i = known[key] = len(rows)
+            rows.append((*key, ids[doc]))
+        runs.append((doc, start, b, i))
+
     for where, block in _groups(ids, texts, skip):
         doc, s0, s1, place, h = anchors(block, depth)
         at = np.searchsorted(shared, h)
         hit = np.zeros(len(h), dtype=bool) if not len(shared) else shared[np.minimum(at, len(shared) - 1)] == h
         bucket = (textvec.mix(h[hit]) % _U(buckets)).astype(np.int64).tolist()
-        for d, a, z, p, b in zip(doc[hit].tolist(), s0[hit].tolist(), s1[hit].tolist(), place[hit].tolist(), bucket):
-            key = (block[d][a : z + depth], p - a)
-            rows = table.setdefault(b, [])
-            i = known.get(key)
-            if i is None:
-                i = known[key] = len(rows)
-                rows.append((*key, ids[where[d]]))
-            runs.append((where[d], a, b, i))
+        for d, a, z, p, b, x in zip(doc[hit].tolist(), s0[hit].tolist(), s1[hit].tolist(), place[hit].tolist(), bucket, h[hit].tolist()):
+            if x in hot:
+                for s in range(a, z + 1):
+                    window = block[d][s : s + depth]
+                    add((window, -1), xxhash.xxh3_64_intdigest(window) % buckets, where[d], s)
+            else:
+                add((block[d][a : z + depth], p - a), b, where[d], a)
     return table, runs
 
 
@@ -193,8 +211,11 @@ def repeats(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     assert depth == DEPTH, "contexts are laid out for the depth that the module states"
     spark = documents.sparkSession
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    base = base.withColumn("chunk", F.spark_partition_id().cast("long")).withColumn("digest", F.sha2("text", 256)).withColumn("n", F.octet_length("text").cast("long"))
-    name, parts = f"lectern_chunks_{uuid.uuid4().hex}", max(1, base.rdd.getNumPartitions())
+    # large input tasks are several chunks, so that a Python worker never holds more than about CHUNK_BYTES of input
+    pieces = max(1, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) // CHUNK_BYTES)
+    chunk = F.spark_partition_id().cast("long") * pieces + F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces))
+    base = base.withColumn("chunk", chunk).withColumn("digest", F.sha2("text", 256)).withColumn("n", F.octet_length("text").cast("long"))
+    name, parts = f"lectern_chunks_{uuid.uuid4().hex}", min(MOST_FILES, max(1, base.rdd.getNumPartitions() * pieces))
     base.write.option("path", scratch_path(spark, "chunks")).option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(name)
     table = spark.table(name)
     texts = table.select("chunk", "doc_id", "text").groupBy("chunk")
@@ -228,24 +249,37 @@ def repeats(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         h, o = np.concatenate(seen), np.concatenate(owners)
         order = np.lexsort((o, h))
         h, o = h[order], o[order]
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
-        h = h[fresh]
-        head = np.concatenate([[True], h[1:] != h[:-1]])
-        once = h[head]
-        twice = np.diff(np.append(np.flatnonzero(head), len(h))) > 1
-        sent = np.concatenate([once, once[twice]])  # what several documents here share is sent twice
-        chunk = left.column("chunk")[0].as_py()
-        return _message([(chunk, "hash", b, 0, _pack48(np.sort(sent[p]))) for b, p in _by_bucket(sent, buckets)])
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        count = np.diff(np.append(head, len(h)))
+        several = o[head] != o[np.append(head[1:], len(o)) - 1]  # documents here share it
+        once, chunk, out = h[head], left.column("chunk")[0].as_py(), []
+        for b, p in _by_bucket(once, buckets):
+            out.append((chunk, "hash", b, 0, _pack48(once[p])))
+            if len(p := p[several[p] | (count[p] > 1)]):  # beside their hashes: how often, and whether in several documents
+                out.append((chunk, "more", b, len(p), _pack48(once[p]) + count[p].astype("<u4").tobytes() + several[p].astype("u1").tobytes()))
+        return _message(out)
 
     def meet(rows: pa.Table) -> pa.Table:
-        found = [_unpack48(b) for b in rows.column("blob").to_pylist()]
-        value, count = np.unique(np.concatenate(found), return_counts=True)
-        shared = value[count > 1]
+        found, hashes_, counts, docs = [], [], [], []
+        for chunk, kind, n, blob in zip(*(rows.column(c).to_pylist() for c in ("chunk", "kind", "doc", "blob"))):
+            own = _unpack48(blob[: 6 * n] if kind == "more" else blob)
+            hashes_.append(own)
+            if kind == "more":
+                counts.append(np.frombuffer(blob, dtype="<u4", count=n, offset=6 * n).astype(np.int64) - 1)
+                docs.append(np.frombuffer(blob, dtype="u1", count=n, offset=10 * n).astype(np.int64))
+            else:
+                found.append((chunk, own))
+                counts.append(np.ones(len(own), dtype=np.int64))
+                docs.append(np.ones(len(own), dtype=np.int64))
+        value, at = np.unique(np.concatenate(hashes_), return_inverse=True)
+        times, holders = np.bincount(at, np.concatenate(counts)), np.bincount(at, np.concatenate(docs))
+        shared, hot = value[holders > 1], value[(holders > 1) & (times > HOT)]
         out = []
-        for chunk, own in zip(rows.column("chunk").to_pylist(), found):
-            own = np.unique(own)
-            if len(own := own[np.isin(own, shared, assume_unique=True)]):
+        for chunk, own in found:
+            if len(own := own[np.isin(own, shared)]):
                 out.append((chunk, "shared", 0, 0, _pack48(own)))
+            if len(own := own[np.isin(own, hot)]):
+                out.append((chunk, "hot", 0, 0, _pack48(own)))
         return _message(out)
 
     sent = texts.cogroup(copies.groupBy("chunk")).applyInArrow(hashes, _MESSAGE)
@@ -256,8 +290,8 @@ def repeats(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         if not left.num_rows:
             return _message([])
         ids, bodies = _chunk(left)
-        _, hits, _ = _right(right)
-        table, _ = _contexts(ids, bodies, skipped(ids, bodies, right), hits, depth, buckets)
+        hits, hot, _ = _right(right)
+        table, _ = _contexts(ids, bodies, skipped(ids, bodies, right), hits, hot, depth, buckets)
         chunk, out = left.column("chunk")[0].as_py(), []
         for b, rows in table.items():
             size = np.asarray([len(r[0]) for r in rows], dtype="<u1")
@@ -303,8 +337,8 @@ def repeats(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
             return _kept([])
         ids, bodies = _chunk(left)
         skip = skipped(ids, bodies, right)
-        _, hits, came = _right(right)
-        rows, runs = _contexts(ids, bodies, skip, hits, depth, buckets)
+        hits, hot, came = _right(right)
+        rows, runs = _contexts(ids, bodies, skip, hits, hot, depth, buckets)
         answers = {}
         for b, blob in came.items():
             n = len(blob) // 13
@@ -335,6 +369,8 @@ def repeats(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         return _kept(out)
 
     result = texts.cogroup(told.unionByName(back).groupBy("chunk")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    # the plan holds the files; the catalogue needn't keep their name
+    spark.sql(f"DROP TABLE {name}")
     return result
 
 

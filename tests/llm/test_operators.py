@@ -640,6 +640,21 @@ def test_repeats(spark, texts):
     assert one.n_removed == 60
 
 
+@pytest.mark.parametrize("hot", [4, 10**9])
+def test_repeats_around_a_common_phrase(spark, monkeypatch, hot):
+    """Phrases shorter than a window in every document, with other neighbours or with the same ones."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rnd = random.Random(3)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrases = [noise(20) for _ in range(3)]
+    shared = [noise(25) + p + noise(25) for p in phrases]
+    rows = [(i, noise(rnd.randrange(30, 90)) + rnd.choice(phrases) + noise(60) + (rnd.choice(shared) if i % 4 == 0 else rnd.choice(phrases)) + noise(40)) for i in range(80)]
+    rows += [(200 + i, phrases[0] * 6) for i in range(3)]
+    got = collections.Counter(tuple(r) for r in suffix_dedup.repeat_digests(frame(spark, rows).repartition(4)).collect())
+    assert got == brute_repeats(rows)
+    assert not spark.catalog.listTables()
+
+
 def test_radix_groups():
     rnd = random.Random(8)
     buf = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(400)), dtype=np.uint8)
