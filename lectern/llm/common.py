@@ -28,8 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Scratch paths of this process that are still there.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession, keep=()) -> None:
+    """Delete the scratch data that this process made, but for `keep`: for a caller whose results are written."""
+    for path in [p for p in _made if p not in keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,12 +62,3 @@ def join_checked(df: DataFrame, side: DataFrame, on, how: str = "left", limit: i
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes that df reads: sizes partitions, never picks rows."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def parts_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 12) -> int:
-    return max(least, min(200_000, input_bytes(df) // bytes_each + 1))
