@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.llm import decontaminate, near_dedup, pack, quality, surrogates
-from lectern.llm.common import read, scratch_path
+from lectern.llm.common import read, release, scratch_path
 from lectern.llm.queries import tokenizer_path
 
 
@@ -33,8 +33,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose personal data are surrogates."""
-    return surrogates.pseudonymise(docs).select(*docs.columns)
+    """Documents whose personal data are surrogates, by the session's key or one of this run's own."""
+    return surrogates.pseudonymise(docs, surrogates.session_key(spark)).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of documents. A stage's scratch tables go once its result is written."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark, keep=(path,))
     return STAGES[-1][1](spark, docs, sf_dir)
