@@ -2,20 +2,24 @@
 
 Each line is good (1) or bad (0). A line's features are its own and its neighbours' measures; transitions join
 adjacent lines. Training maximises the chains' log-likelihood on a bounded, documented sample of labelled
-documents, whose lines take the document's label. A document's score is the mean of its lines' forward-backward
+documents, whose lines take the document's label: labels of lines are not given, so transitions learn how seldom
+quality changes within a document. A document's score is the mean of its lines' forward-backward
 marginals, weighted by length.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm.common import BROADCAST_ROWS
 
-#: Labelled documents that the model is fitted on, at most: those with the smallest hash of doc_id.
-SAMPLE = 6000
+#: Labelled documents that the model is fitted on, at most: those with the smallest hash of doc_id; and lines of each,
+#: at most: adjacent ones, from a place that the hash names. So training sees at most SAMPLE x LINES lines.
+SAMPLE, LINES = 6000, 60
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -131,19 +135,26 @@ def fold(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """A model from at most `sample` labelled documents whose fold is not 0. Null labels are passed over."""
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> dict:
+    """A model from at most `sample` labelled documents whose fold is not 0, and `lines` lines of each.
+
+    Null labels are passed over. Labels that repeat a doc_id count once, as the worse one; so do documents that repeat
+    one, as the text that sorts first.
+    """
     assert sample <= BROADCAST_ROWS
-    marked = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("_quality"))
-    marked = marked.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id", "_quality").limit(sample)
+    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("_quality"))
+    marked = marked.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(sample)
 
     def gather(batches):
         for b in batches:
-            for text, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, _, counts = line_features([text])
-                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([x[:, :].astype("<f4").tobytes()], pa.binary())], names=["quality", "x"])
-
-    rows = documents.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", "_quality").mapInArrow(gather, "quality int, x binary").collect()
+            for doc, text, q in zip(*(b.column(i).to_pylist() for i in range(3))):
+                x, _, _ = line_features([text])
+                over = len(x) - lines
+                begin = zlib.crc32(str(doc).encode()) % (over + 1) if over > 0 else 0
+                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([x[begin : begin + lines].astype("<f4").tobytes()], pa.binary())], names=["quality", "x"])
+
+    own = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_quality").alias("_quality"))
+    rows = own.mapInArrow(gather, "quality int, x binary").collect()
     rows = sorted((r[0], bytes(r[1])) for r in rows)  # whatever order the tasks end in
     xs = [np.frombuffer(r[1], dtype="<f4").reshape(-1, WIDTH) for r in rows]
     return fit(np.concatenate(xs).astype(np.float64) if xs else np.zeros((0, WIDTH)), np.asarray([len(x) for x in xs], dtype=np.int64), np.asarray([r[0] for r in rows]))
