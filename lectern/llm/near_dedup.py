@@ -302,12 +302,14 @@ def classes(documents: DataFrame, k: int = WORDS, least: float = SIMILARITY, ske
 
 
 def deduplicate(documents: DataFrame, k: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """documents with one row of each class: the smallest doc_id's. Rows without doc_id stay."""
+    """documents with one row of each class: the smallest doc_id's; of rows that repeat it the one whose text sorts
+    first. Rows without doc_id stay."""
     c = written(classes(documents, k, least), "classes")
     drop = c.where("not is_representative").select("doc_id").distinct()
     out = join_checked(documents, written(drop, "copies"), "doc_id", "left_anti", BROADCAST_IDS)
     again = c.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not again.isEmpty():
         repeated = out.join(again.select("doc_id"), "doc_id", "left_semi")
-        out = out.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(repeated.dropDuplicates(["doc_id"]).select(*documents.columns))
+        one = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.struct(F.coalesce("text", F.lit("")), F.col("text").isNotNull())).alias("_row"))
+        out = out.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(one.select("_row.*"))
     return out.select(*documents.columns)

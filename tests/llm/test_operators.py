@@ -89,6 +89,8 @@ def test_near_duplicates(spark, texts):
     assert got == {(i, top(i)) for i in ids} | {(None, None)}
     kept = [r.doc_id for r in near_dedup.deduplicate(frame(spark, rows)).collect()]
     assert sorted(kept) == sorted({top(i) for i in ids})
+    again = near_dedup.deduplicate(frame(spark, [(1, "b text"), (1, "a text"), (1, None), (2, "z"), (2, "q")])).collect()
+    assert sorted((r.doc_id, r.text or "") for r in again) == [(1, ""), (2, "q")] and {r._key for r in again} == {"k"}
 
 
 def test_cloud_of_near_copies(spark):
