@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 
 import pandas as pd
@@ -212,64 +214,75 @@ def route(url: Column) -> Column:
 
 # ---- offset maps: what a match in normalised text covers in the raw text (code points) ----
 
+_DROPPED = frozenset("。，、．・？！：；「」『』（）()〔〕【】[]“”‘’·…—　")
+_TAGS = r"\[(?:\d{3,4}[abc]\d{2}|\d{1,3}|＊|\*)\]"
+_FOLDS = dict(zip(FOLD_FROM, FOLD_TO))
 
-def _mapped(raw: str, kind: str) -> tuple[str, list[int]]:
-    import re
 
-    skip = set()
-    if kind == "cn":
-        for m in re.finditer(r"\[(?:\d{3,4}[abc]\d{2}|\d{1,3}|＊|\*)\]", raw):
-            skip.update(range(*m.span()))
-    table = dict(zip(FOLD_FROM, FOLD_TO))
-    drop = re.compile(r"[\s。，、．・？！：；「」『』（）()〔〕【】\[\]“”‘’·…—　]")
-    out, at = [], []
-    for i, c in enumerate(raw):
-        if i in skip:
-            continue
-        for n in unicodedata.normalize("NFKC", c):
-            if drop.match(n):
-                continue
-            for x in table.get(n, n) if kind == "cn" else n.lower():
-                out.append(x)
-                at.append(i)
-    return "".join(out), at
+@functools.cache
+def _char(c: str, kind: str, marks: bool) -> str:
+    """What one character becomes. Search text of the translation keeps its marks; where marks go, a character goes
+    whole if any part of its composed form is one."""
+    n = unicodedata.normalize("NFKC", c)
+    if not marks:
+        return "" if c.isspace() or c == "\ufeff" else n.lower()
+    if any(x in _DROPPED or x.isspace() for x in n):
+        return ""
+    return "".join(_FOLDS.get(x, x) for x in n) if kind == "cn" else n.lower()
+
+
+def mapped(raw: str, kind: str, highlight: bool) -> tuple[str, list[int]]:
+    """Normal text and each of its characters' place in raw; as highlighting compares, or as search does."""
+    skip = {i for m in re.finditer(_TAGS, raw) for i in range(*m.span())} if kind == "cn" and "[" in raw else ()
+    marks = highlight or kind == "cn"
+    parts = [(i, x) for i, c in enumerate(raw) if i not in skip for x in _char(c, kind, marks)]
+    return "".join(x for _, x in parts), [i for i, _ in parts]
 
 
 def ranges_of(raw: str | None, needle: str | None, kind: str) -> list[tuple[int, int]]:
-    """[start, end) of all non-overlapping occurrences of a normalised needle."""
+    """[start, end) of all non-overlapping occurrences of a needle that is normalised for highlighting."""
     if not raw or not needle:
         return []
-    text, at = _mapped(raw, kind)
-    out, p = [], text.find(needle)
-    while p >= 0:
-        out.append((at[p], at[p + len(needle) - 1] + 1))
-        p = text.find(needle, p + len(needle))
-    return out
+    text, at = mapped(raw, kind, highlight=True)
+    return [(at[m.start()], at[m.end() - 1] + 1) for m in re.finditer(re.escape(needle), text)]
+
+
+def snippet_of(raw: str | None, needle: str | None, kind: str) -> tuple[str, str, str] | None:
+    """(before, hit, after) of the first occurrence of a needle that is normalised for search."""
+    if not raw or not needle:
+        return None
+    text, at = mapped(raw, kind, highlight=False)
+    p, pad = text.find(needle), PAD[kind]
+    if p < 0:
+        return None
+    a, z = at[p], at[p + len(needle) - 1] + 1
+    return ("…" if a > pad else "") + raw[max(0, a - pad) : a], raw[a:z], raw[z : z + pad] + ("…" if z + pad < len(raw) else "")
 
 
 def find_ranges(raw: Column, needle: Column, kind: str) -> Column:
+    """[start, end) of all occurrences. Only texts that can hold the needle go to Python: those that have it when
+    normalised as a whole, and those beyond ASCII, where a character can become several."""
+
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def run(r: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([[{"start": a, "end": z} for a, z in ranges_of(x, y, kind)] for x, y in zip(r, n)], dtype=object)
 
-    return run(raw, needle)
+    plain = norm_highlight(raw, kind, compose=False)
+    if kind == "cn":
+        plain = norm_highlight(F.regexp_replace(F.regexp_replace(raw, MARKER, ""), APPARATUS, ""), kind, compose=False)
+    can = F.coalesce(plain.contains(needle) | F.regexp_like(raw, F.lit(r"[^\x00-\x7F]")), F.lit(False))
+    # the argument is null where there is nothing to find, so that the text isn't sent
+    found = run(F.when(can, raw), needle)
+    return F.when(can, found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def kwic(raw: Column, needle: Column, kind: str) -> Column:
-    """struct(pre, hit, post) around the first occurrence, with ellipses where cut; null where there is none."""
-    pad = PAD[kind]
+    """struct(pre, hit, post) around the first occurrence of a needle that is normalised for search, with ellipses
+    where cut; null where there is none."""
 
     @F.pandas_udf("struct<pre:string,hit:string,post:string>")
     def run(r: pd.Series, n: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(r, n):
-            found = ranges_of(x, y, kind)
-            if not found:
-                rows.append((None, None, None))
-                continue
-            a, z = found[0]
-            rows.append((("…" if a > pad else "") + x[max(0, a - pad) : a], x[a:z], x[z : z + pad] + ("…" if z + pad < len(x) else "")))
-        return pd.DataFrame(rows, columns=["pre", "hit", "post"])
+        return pd.DataFrame([snippet_of(x, y, kind) or (None, None, None) for x, y in zip(r, n)], columns=["pre", "hit", "post"])
 
     s = run(raw, needle)
     return F.when(s["hit"].isNotNull(), s)
@@ -282,7 +295,7 @@ def mark_ranges(raw: Column, ranges: Column) -> Column:
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, r: F.struct(
             r["end"].alias("at"),
-            F.concat(a["out"], escape_html(F.substring(raw, a["at"] + 1, r["start"] - a["at"])), F.lit("<mark>"), escape_html(F.substring(raw, r["start"] + 1, r["end"] - r["start"])), F.lit("</mark>")).alias("out"),
+            F.concat(a["out"], escape_html(F.substring(raw, a["at"] + 1, r["start"] - a["at"])), F.lit('<mark class="hit-mark">'), escape_html(F.substring(raw, r["start"] + 1, r["end"] - r["start"])), F.lit("</mark>")).alias("out"),
         ),
     )
     return F.concat(cut["out"], escape_html(F.substring(raw, cut["at"] + 1, F.length(raw))))

@@ -52,7 +52,14 @@ def test_ranges_and_kwic(spark):
     s = spark.createDataFrame([(raw,)], "s string").select(T.kwic(F.col("s"), F.lit("眾生"), "cn").alias("k"), T.kwic(F.col("s"), F.lit("無"), "cn").alias("n")).first()
     assert s.k.hit == "衆生" and s.k.post.endswith("…") and len(s.k.post) == 23 and s.n is None
     marked = spark.createDataFrame([("a<b>a",)], "s string").select(T.mark_ranges(F.col("s"), T.find_ranges(F.col("s"), F.lit("a"), "ko")).alias("m")).first().m
-    assert marked == "<mark>a</mark>&lt;b&gt;<mark>a</mark>"
+    m = '<mark class="hit-mark">a</mark>'
+    assert marked == f"{m}&lt;b&gt;{m}"
+    # marks: search keeps those of the translation, highlighting drops them on both sides
+    assert T.snippet_of("가·나 다.", "가·나", "ko")[1] == "가·나" and T.snippet_of("가·나 다.", "가나", "ko") is None
+    assert T.ranges_of("가·나 다.", "나다", "ko") == [(2, 5)] and T.ranges_of("가·나 다.", "가·나", "ko") == []
+    # a character whose composed form holds a mark goes whole, where marks go
+    assert T.mapped("a㈜b", "cn", True)[0] == "ab" == T.mapped("a㈜b", "ko", True)[0] and T.mapped("a㈜b", "ko", False)[0] == "a(주)b"
+    assert T.snippet_of("x" * 40 + "ﬁn" + "y" * 40, "fin", "ko") == ("…" + "x" * 34, "ﬁn", "y" * 34 + "…")
 
 
 def test_segment(spark, tmp_path):
@@ -106,13 +113,48 @@ def test_split_by_translation(spark):
     assert sorted((r.old, r.new) for r in assemble.remap(s).collect()) == [(0, 0), (1, 3), (2, 4)]
 
 
-def test_align():
-    unit = lambda m, cn, ko: {"m": m, "cn": cn, "ko": ko, "nt": []}
-    src = [{"i": k + 1, "m": m, "cn": t} for k, (m, t) in enumerate([("0001a01", "如是我聞一時佛在舍衛國"), ("0001a01", "與大比丘眾千二百五十人俱"), (None, "爾時世尊食時著衣持鉢"), ("0001a03", "入城乞食")])]
-    units, place = align.align(src, [unit("0001a01", ["如是我聞一時佛在舍衛國", "爾時世尊食時著衣持鉢"], ["가"]), unit("0001a03", [], ["나"]), unit("0001a03", [], ["다"]), unit(None, ["全然不同之文字"], ["라"])])
-    assert [(u["i"], len(u["cn"]), u["ko"], u["x"]) for u in units] == [(1, 3, ["가"], None), (2, 1, ["나", "다"], None), (3, 1, ["라"], 1)]
-    assert place == {0: 0, 1: 1, 2: 1, 3: 2}
-    assert align.align([], [unit("m", ["a"], [])])[1] == {0: 0}
+UNITS = "work string, i int, m string, cn string"
+TRANSLATED = "work string, u int, m string, cn array<string>, ko array<string>, nt array<string>, h string"
+
+
+def aligned(spark, source, translated):
+    """Rows (i, source texts, translation, x, places) of one work; translated: (marker, pieces, translation, heading)."""
+    s = spark.createDataFrame([("w", k + 1, m, t) for k, (m, t) in enumerate(source)], UNITS)
+    t = spark.createDataFrame([("w", k, m, cn, ko, [f"n{k}"], h) for k, (m, cn, ko, h) in enumerate(translated)], TRANSLATED)
+    return [(r.i, r.cn, r.ko, r.h, r.x, r.places) for r in align.align_works(s, t).orderBy("i").collect()]
+
+
+def test_align(spark):
+    src = [("0001a01", "如是我聞一時佛在舍衛國"), ("0001a01", "與大比丘眾千二百五十人俱"), (None, "爾時世尊食時著衣持鉢"), ("0001a03", "入城乞食")]
+    got = aligned(spark, src, [("0001a01", [src[0][1], src[2][1]], ["가"], ""), ("0001a03", [], ["나"], "ㄴ"), ("0001a03", [], ["다"], "ㄷ"), (None, ["全然不同之文字"], ["라"], "ㄹ")])
+    assert got == [(1, [t for _, t in src[:3]], ["가"], None, None, [0]), (2, [src[3][1]], ["나", "다"], "ㄴ", None, [1, 2]), (3, ["全然不同之文字"], ["라"], None, 1, [3])]
+    assert aligned(spark, [], [("m", ["a"], ["k"], "h")]) == [(1, ["a"], ["k"], "h", None, [0])]
+    assert aligned(spark, [("m", "甲乙丙")], []) == [(1, ["甲乙丙"], [], None, None, [])]
+
+
+def test_align_ways(spark):
+    text = [chr(0x4E00 + 37 * k) + chr(0x4E05 + 37 * k) + chr(0x4E09 + 37 * k) * 6 for k in range(30)]
+    src = [(f"{k:04d}a01", t) for k, t in enumerate(text)]
+    # a repeated fingerprint goes to the next free unit; then by marker; then where the text stands, taken or not
+    got = aligned(spark, [(None, text[0]), (None, text[0]), ("0009a01", text[1]), *src[2:6]], [(None, [text[0]], ["a"], None), (None, [text[0]], ["b"], None), (None, ["[0009a01]" + text[0]], ["c"], None), (None, [text[0]], ["d"], None)])
+    assert [(r[1], r[2]) for r in got][:3] == [([text[0]], ["a", "d"]), ([text[0]], ["b"]), ([text[1]], ["c"])]
+    # six characters that straddle two units belong to the first; five are too few
+    got = aligned(spark, src[:3], [(None, [text[0][-3:] + text[1][:3]], ["a"], None), (None, [text[1][-2:] + text[2][:3]], ["b"], None)])
+    assert [(r[2], r[4]) for r in got] == [(["a"], None), ([], None), ([], None), (["b"], 1)]
+    # two pieces of one unit can have one place; a place 14 beyond the first is near enough for a unit of two pieces, 15 is not
+    got = aligned(spark, src, [(None, [text[2], text[2]], ["a"], None), (None, [text[4], text[18]], ["b"], None), (None, [text[5], text[20]], ["c"], None)])
+    assert {r[5][0]: len(r[1]) for r in got if r[5]} == {0: 1, 1: 14, 2: 1} and len(got) == 30 - 13
+    # bundles of five pieces: what is left between two owners goes to the first
+    got = aligned(spark, src[:14], [(None, text[1:6], ["a"], None), (None, text[8:13], ["b"], None)])
+    assert [r[1] for r in got] == [[text[0]], text[1:8], text[8:14]]
+    # bundles of four: it stays
+    got = aligned(spark, src[:14], [(None, text[1:5], ["a"], None), (None, text[8:12], ["b"], None)])
+    assert [len(r[1]) for r in got] == [1, 4, 1, 1, 1, 4, 1, 1]
+    # a translation with more units that hold at least 93 % of the source stands for it
+    got = aligned(spark, [(None, text[0] + text[1] + text[2])], [(None, [text[k]], [str(k)], None) for k in range(3)])
+    assert [r[1] for r in got] == [[text[k]] for k in range(3)]
+    m = align.moved(align.align_works(spark.createDataFrame([("w", 1, None, "甲乙丙丁戊己庚")], UNITS), spark.createDataFrame([("w", 0, None, ["甲乙丙丁戊己庚"], ["k"], [], None)], TRANSLATED)))
+    assert [tuple(r) for r in m.collect()] == [("w", 0, 0)]
 
 
 def test_sections_and_chapters(spark):
