@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 TITLE_MOST = 80
 
 
-def lookup(units: DataFrame, work: str, anchor: str) -> DataFrame:
-    """At most one unit (work, i, m, c): by number (u<i> or digits), else by marker, the first that has it."""
-    digits = anchor.removeprefix("u")
-    test = (F.col("i") == int(digits)) if digits.isdigit() else (F.col("m") == anchor)
-    return units.where((F.col("work") == work) & test).orderBy("i").limit(1)
+def lookup(units: DataFrame, work, anchor: str, number: int | None = None) -> DataFrame:
+    """At most one unit: that of the number, if it lies in a chapter but the first; else the first that the anchor
+    names (u<i>, or a marker); else that of the number. units: work, i, m, and c where chapters are known."""
+    digits = anchor.removeprefix("u") if anchor.startswith("u") else ""
+    named = (F.col("i") == int(digits)) if digits.isdigit() else F.coalesce(F.col("m") == anchor, F.lit(False))
+    numbered = F.coalesce(F.col("i") == F.lit(number).cast("long"), F.lit(False))
+    later = F.coalesce(F.col("c") > 0, F.lit(False)) if "c" in units.columns else F.lit(False)
+    rank = F.when(numbered & later, 0).when(named, 1).when(numbered, 2)
+    return units.where(F.col("work") == work).withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", "i").limit(1).drop("_rank")
 
 
 def chapter(units: DataFrame, chapters: DataFrame, sub: DataFrame, work: str, number: int) -> DataFrame:

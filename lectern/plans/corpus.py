@@ -30,8 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def _indexed(spark, sf_dir):
+    """Documents as translation, their language as source text."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("work"), F.col("doc_id").alias("i"), T.norm_cn(F.col("text"), compose=False).alias("ncn"), T.norm_ko(F.col("text"), compose=False).alias("nko"))
+    return search.index(d.select(F.col("source").alias("work"), F.col("doc_id").alias("i"), F.lit(None).cast("string").alias("m"), F.array("lang").alias("cn"), F.array("text").alias("ko")))
+
+
+def _works(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select(F.col("source").alias("work")).distinct()
+    return w.select("work", F.upper("work").alias("title"), F.lit(None).cast("string").alias("title_ko"), F.col("work").alias("ord"))
 
 
 _DROP = r"[\s。，、．・？！：；「」『』（）()〔〕【】\[\]“”‘’·…—　]"
@@ -44,18 +50,32 @@ def _norm_sql(c: str) -> str:
 _FOLDED = f"translate({_norm_sql('text')}, '{T.FOLD_FROM}', '{T.FOLD_TO}')"
 
 
+#: A needle's first place in search text, and what the raw text has there: by the places of the characters that stay.
+def _placed_sql(needle: str, drop: str, extra: str = "") -> str:
+    return rf"""WITH n AS (SELECT doc_id, source, lang, text, string_split(text, '') AS ch, lower(regexp_replace(text, '{drop}', '', 'g')) AS norm FROM documents),
+f AS (SELECT *, list_filter(generate_series(1, len(ch)), lambda i: NOT regexp_matches(ch[i], '{drop}')) AS pl, instr(norm, '{needle}') AS p FROM n WHERE contains(norm, '{needle}')){extra} """
+
+
+_SPACE = r"\s"
+_SNIP_SQL = """SELECT {} CASE WHEN pl[p] > 35 THEN '…' ELSE '' END || array_to_string(ch[greatest(1, pl[p] - 34):pl[p] - 1], '') AS pre,
+array_to_string(ch[pl[p]:pl[p + 4]], '') AS hit, array_to_string(ch[pl[p + 4] + 1:pl[p + 4] + 34], '') || CASE WHEN pl[p + 4] + 34 < len(ch) THEN '…' ELSE '' END AS post FROM f"""
+
+
 @query("SELECT w.source AS work, CAST(count(d.doc_id) AS BIGINT) AS n FROM (SELECT DISTINCT source FROM documents) w LEFT JOIN documents d ON d.source = w.source AND contains(regexp_replace(lower(d.text), '\\s', '', 'g'), 'erththe') GROUP BY w.source")
 def search_counts_zero_filled(spark, sf_dir):
-    ix = _indexed(spark, sf_dir)
-    found = ix.where(search.side_of(F.col("ncn"), F.col("nko"), "", "erththe", "ko").isNotNull()).groupBy("work").count()
-    works = ix.select("work").distinct()
-    return works.join(found, "work", "left").select("work", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
+    return search.counts(_indexed(spark, sf_dir), _works(spark, sf_dir), "Erth the", "ko").select("work", "n")
 
 
-@query(f"SELECT source AS work, doc_id AS i, CASE WHEN contains({_FOLDED}, 'Thein') THEN 'cn' ELSE 'ko' END AS side FROM documents WHERE contains({_FOLDED}, 'Thein') OR contains(regexp_replace(lower(text), '\\s', '', 'g'), 'thein')")
+@query(_placed_sql("tione", _SPACE) + _SNIP_SQL.format("source AS work, upper(source) AS title, doc_id AS i, 'ko' AS side, lang AS alt,"))
 def search_hits(spark, sf_dir):
-    ix = _indexed(spark, sf_dir).withColumn("side", search.side_of(F.col("ncn"), F.col("nko"), "Thein", "thein"))
-    return ix.where("side is not null").select("work", "i", "side")
+    h = search.hits(_indexed(spark, sf_dir), _works(spark, sf_dir), "Ti one", "both")
+    return h.select("work", "title", "i", F.col("where").alias("side"), "alt", "snip.pre", "snip.hit", "snip.post")
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(lang), 'e') THEN 'cn' ELSE 'ko' END AS side FROM documents WHERE contains(lang, 'e') OR contains(lower(text), 'e')")
+def search_source_first(spark, sf_dir):
+    h = search.hits(_indexed(spark, sf_dir), _works(spark, sf_dir), "e")
+    return h.select(F.col("i").alias("doc_id"), F.col("where").alias("side"))
 
 
 @query("WITH c AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN text END, chr(10) ORDER BY turn, text) AS u, string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY turn, text) AS a FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN contains(u, 'the') THEN 'cn' WHEN contains(a, 'the') THEN 'ko' END AS side FROM c WHERE contains(u, 'the') OR contains(a, 'the')")
@@ -78,17 +98,29 @@ def hit_paging(spark, sf_dir):
     return search.page(d, 3, 10).select("work", "i")
 
 
-@query("SELECT doc_id, substr(text, greatest(1, p - 34), p - greatest(1, p - 34)) AS pre, substr(text, p, 5) AS hit, substr(text, p + 5, 34) AS post FROM (SELECT doc_id, text, instr(text, 'tione') AS p FROM documents) WHERE p > 0")
+@query(_placed_sql("tion,", _SPACE) + _SNIP_SQL.format("doc_id,"))
 def kwic_first(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("p", F.instr("text", "tione")).where("p > 0")
-    a = F.greatest(F.lit(1), F.col("p") - 34)
-    return d.select("doc_id", F.substring("text", a, F.col("p") - a).alias("pre"), F.substring("text", F.col("p"), F.lit(5)).alias("hit"), F.substring("text", F.col("p") + 5, F.lit(34)).alias("post"))
+    """A needle with a mark, which search text of the translation keeps."""
+    d = table(spark, sf_dir, "documents").where(T.norm_ko(F.col("text")).contains("tion,"))
+    return d.select("doc_id", T.kwic(F.col("text"), F.lit("tion,"), "ko").alias("k")).select("doc_id", "k.pre", "k.hit", "k.post")
 
 
-@query()
+@query(
+    _placed_sql("tione", _DROP, ", g AS (SELECT doc_id, pl, list_transform(string_split(norm, 'tione'), lambda x: length(x)) AS l FROM f), h AS (SELECT doc_id, pl, list_transform(range(1, len(l)), lambda k: CAST(list_sum(l[1:k]) AS BIGINT) + 5 * (k - 1)) AS ps FROM g)")
+    + "SELECT doc_id, list_transform(ps, lambda p: CAST(pl[p + 1] - 1 AS VARCHAR) || '-' || CAST(pl[p + 5] AS VARCHAR)) AS ranges FROM h"
+)
 def ranges_all(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.lower("text").contains("tione"))
-    return d.select("doc_id", F.transform(T.find_ranges(F.col("text"), F.lit("tione"), "ko"), lambda r: F.concat_ws("-", r["start"], r["end"])).alias("ranges"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.find_ranges(F.col("text"), F.lit("tione"), "ko").alias("r")).where(F.size("r") > 0)
+    return d.select("doc_id", F.transform("r", lambda r: F.concat_ws("-", r["start"], r["end"])).alias("ranges"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(regexp_replace(text, 'tion', chr(1) || 'tion' || chr(2), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;').replace(chr(1), '<mark class=\"hit-mark\">').replace(chr(2), '</mark>') AS html FROM documents WHERE NOT regexp_matches(text, '[Tt][^a-zA-Z]*[Ii][^a-zA-Z]*[Oo][^a-zA-Z]*[Nn]') OR regexp_replace(text, 'tion', '', 'g') NOT SIMILAR TO '(?s).*[Tt][^a-zA-Z]*[Ii][^a-zA-Z]*[Oo][^a-zA-Z]*[Nn].*'")
+def marked_html(spark, sf_dir):
+    """Every place of the needle marked, of texts that have it in one spelling only."""
+    d = table(spark, sf_dir, "documents")
+    spelled = r"(?i)t[^a-zA-Z]*i[^a-zA-Z]*o[^a-zA-Z]*n"
+    d = d.where(~F.regexp_like(F.regexp_replace("text", "tion", ""), F.lit(spelled)))
+    return d.select("doc_id", T.mark_ranges(F.col("text"), T.find_ranges(F.col("text"), F.lit("tion"), "ko")).alias("html"))
 
 
 @query(f"SELECT s, translate(s, '{T.FOLD_FROM}', '{T.FOLD_TO}') AS folded FROM (VALUES ('衆生无与体'), ('観观觉'), ('abc'), ('淨净凈')) t(s)")
@@ -98,7 +130,7 @@ def fold_translate(spark, sf_dir):
 
 @query(f"SELECT doc_id, {_FOLDED} AS norm FROM documents")
 def norm_strip(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.norm_cn(F.col("text"), compose=False).alias("norm"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.norm_cn(F.col("text")).alias("norm"))
 
 
 @query(r"SELECT doc_id, CASE WHEN l = 0 THEN 0.0 ELSE h / l END AS ratio, false AS source_like FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\p{L}')) AS DOUBLE) AS l, CAST(len(regexp_extract_all(text, '[\x{ac00}-\x{d7a3}]')) AS DOUBLE) AS h FROM documents)")
@@ -181,7 +213,7 @@ def section_forward_fill(spark, sf_dir):
 
 @query(f"WITH k AS (SELECT doc_id, substr({_FOLDED}, 1, 14) AS key FROM documents) SELECT key, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM k GROUP BY key HAVING count(*) > 1")
 def fingerprint_groups(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(T.norm_cn(F.col("text"), compose=False), 1, T.HEAD_KEY).alias("key"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.head_key(F.col("text")).alias("key"))
     return d.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
@@ -267,11 +299,11 @@ def section_dedupe_lead(spark, sf_dir):
 _PARTS = "SELECT p_brand AS work, p_partkey AS i, p_size AS lv, p_name AS t FROM part"
 
 
-@query("WITH n AS (SELECT p_brand AS work, count(*) AS n FROM part GROUP BY 1), per AS (SELECT p_brand AS work, p_size % 5 AS lv, count(*) AS k FROM part WHERE p_partkey % 9 = 0 GROUP BY 1, 2), up AS (SELECT work, lv, sum(k) OVER (PARTITION BY work ORDER BY lv) AS k FROM per) SELECT work, CAST(min(lv) AS INTEGER) AS level FROM up JOIN n USING (work) WHERE n >= 60 AND k BETWEEN 2 AND 40 AND n / k >= 3 GROUP BY work")
+@query("WITH n AS (SELECT p_brand AS work, count(*) AS n FROM part GROUP BY 1), per AS (SELECT p_brand AS work, p_size % 5 AS lv, count(*) AS k FROM part WHERE p_size <= 6 GROUP BY 1, 2), up AS (SELECT work, lv, sum(k) OVER (PARTITION BY work ORDER BY lv) AS k FROM per) SELECT work, CAST(min(lv) AS INTEGER) AS level FROM up JOIN n USING (work) WHERE n >= 60 AND k BETWEEN 2 AND 40 AND n / k >= 3 GROUP BY work")
 def level_choice(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("i", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1)
     n = p.groupBy(F.col("p_brand").alias("work")).agg(F.count("*").alias("n"))
-    s = p.where("p_partkey % 9 = 0").select(F.col("p_brand").alias("work"), "i", (F.col("p_size") % 5).alias("lv"), F.col("p_name").alias("t"))
+    s = p.where("p_size <= 6").select(F.col("p_brand").alias("work"), "i", (F.col("p_size") % 5).alias("lv"), F.col("p_name").alias("t"))
     return sections.chapters(sections.clean(s, n), n).groupBy("work").agg(F.max("lv").cast("int").alias("level"))
 
 
@@ -315,10 +347,10 @@ def range_labels(spark, sf_dir):
     return sections.range_labels(u, r).select("work", "start", "label")
 
 
-@query(f"SELECT work, i, {_LINE_MARK} AS m FROM ({_LINES}) WHERE i = 9")
+@query(f"SELECT work, i, {_LINE_MARK} AS m FROM ({_LINES}) WHERE i = 2 AND work = 7")
 def lookup_by_marker(spark, sf_dir):
     u = _lines(spark, sf_dir)
-    return u.where(F.col("m") == "0101a02").select("work", "i", "m")
+    return reader.lookup(u, 7, "0100a02").select("work", "i", "m")
 
 
 @query(f"SELECT work, i, CASE WHEN i % 2 = 0 THEN NULL ELSE {_LINE_MARK} END IS NULL AND length(line) <= 80 AS title_like, i % 3 = 0 AS untranslated FROM ({_LINES})")
@@ -370,13 +402,13 @@ def sections_without_chapters(spark, sf_dir):
 
 
 @query(
-    "WITH c AS (SELECT p_brand AS work, p_partkey AS i, p_name AS t FROM part WHERE p_partkey % 40 = 1), s AS (SELECT p_brand AS work, max(p_partkey) + 1 AS n FROM part GROUP BY 1) "
+    "WITH c AS (SELECT p_brand AS work, p_partkey AS i, p_name AS t FROM part WHERE p_size = 7), s AS (SELECT p_brand AS work, max(p_partkey) + 1 AS n FROM part GROUP BY 1) "
     "SELECT work, i, coalesce(lead(i) OVER w, n) - i AS units, lag(t) OVER w AS prev, lead(t) OVER w AS next FROM c JOIN s USING (work) WINDOW w AS (PARTITION BY work ORDER BY i)"
 )
 def chapter_neighbours(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("work"), F.col("p_partkey").alias("i"), F.col("p_name").alias("t"))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("work"), F.col("p_partkey").alias("i"), F.col("p_name").alias("t"), "p_size")
     sizes = p.groupBy("work").agg((F.max("i") + 1).alias("n"))
-    return sections.chapter_sizes(p.where("i % 40 = 1"), sizes).select("work", "i", "units", "prev", "next")
+    return sections.chapter_sizes(p.where("p_size = 7"), sizes).select("work", "i", "units", "prev", "next")
 
 
 @query(f"SELECT work, i, line, CASE WHEN i = 15 THEN 'here' END AS heading FROM ({_LINES}) CROSS JOIN (SELECT least(1, (len(string_split(text, chr(10))) - 1) // 10) * 10 AS start FROM documents WHERE doc_id = 7) WHERE work = 7 AND i > start AND i <= start + 10")
@@ -426,9 +458,15 @@ def volume_titles(spark, sf_dir):
     return sections.volume_lines(u).select("work", "i", "t")
 
 
-@query()
+@query(
+    f"WITH s AS (SELECT conv_id, turn, text, role, substr({_FOLDED}, 1, 14) AS key FROM conversations), "
+    "a AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) AS r FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) AS r FROM s WHERE role = 'user'), "
+    "p AS (SELECT a.conv_id, a.turn, b.turn AS place FROM a LEFT JOIN b USING (conv_id, key, r)) "
+    "SELECT CAST(conv_id AS VARCHAR) AS work, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS i, CAST(count(place) OVER (PARTITION BY conv_id, turn) AS INTEGER) AS n_ko, CAST(NULL AS INTEGER) AS x, coalesce(CAST(place AS VARCHAR), '') AS places FROM p"
+)
 def align_greedy(spark, sf_dir):
-    """A conversation as the work: its turns are the source, what users say with its answer the translation."""
+    """A conversation as the work: its turns are the source, what users say the translated units; a text that comes
+    again goes to the next turn that has it."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("work"), F.col("turn").cast("int").alias("i"), F.lit(None).cast("string").alias("m"), F.col("text").alias("cn"), "role")
     none = F.array().cast("array<string>")
     tr = c.where("role = 'user'").select("work", F.col("i").alias("u"), "m", F.array("cn").alias("cn"), F.array("role").alias("ko"), none.alias("nt"), F.lit(None).cast("string").alias("h"))
