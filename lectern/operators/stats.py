@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import text as T
 
-#: Bibliography that a rebuilt catalogue keeps, and defaults (fixed values).
-KEEP = ("id", "title_cn", "title_ko", "author_cn", "author_ko", "dynasty", "canon", "canon_id", "canon_vol", "canon_no", "canon_label", "canon_ko", "collection", "tags", "verify", "source", "note")
-DEFAULT_CANON, DEFAULT_SOURCE, LAST_NUMBER = "ZW", "CBETA", 999
+DEFAULT_SOURCE = "CBETA"
 
 
 def work_stats(units: DataFrame, length=None, ingest: bool = True) -> DataFrame:
@@ -53,7 +51,7 @@ def overlay(stats: DataFrame, meta: DataFrame, registry: DataFrame, defaults: di
         return F.coalesce(*given, *([F.lit(defaults[c])] if c in defaults else [])).alias(c)
 
     out = j.select(F.col("work"), *[pick(c) for c in names if c != "work"])
-    return out.withColumn("verify", F.col("canon_id").startswith("Z") | F.coalesce("verify", F.lit(False))) if "canon_id" in out.columns and "verify" in out.columns else out
+    return out.withColumn("verify", (F.coalesce("canon_id", F.lit("")) == "Z") | F.coalesce("verify", F.lit(False))) if "canon_id" in out.columns and "verify" in out.columns else out
 
 
 def canon_key(canon: Column, vol: Column, no: Column) -> list[Column]:

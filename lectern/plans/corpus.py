@@ -425,12 +425,12 @@ def concatenated_parts(spark, sf_dir):
     return source_text.concat_parts(c).select("work", "role", "turn", F.col("i").cast("long").alias("i"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, CAST(doc_id AS VARCHAR) AS title_ko, 'ZW' AS canon_id, 999 AS canon_no, true AS verify FROM documents WHERE n_chars % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CAST(doc_id AS VARCHAR) AS title_ko, '미상' AS author_ko, '서지 미기재' AS canon, '미분류' AS collection, 'Z' AS canon_id, 999 AS canon_no, true AS verify FROM documents WHERE n_chars % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def discover_defaults(spark, sf_dir):
     name = F.when(F.col("n_chars") % 2 == 0, "원문.txt").otherwise("원문2.txt")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array(name).alias("names"))
     known = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
-    return source_text.discover(d, known).select("id", "title_ko", "canon_id", "canon_no", "verify")
+    return source_text.discover(d, known).select("id", "title_ko", "author_ko", "canon", "collection", "canon_id", "canon_no", "verify")
 
 
 @query(f"SELECT work, CAST(count(*) AS BIGINT) AS units, min({_LINE_MARK}) FILTER (i % 5 <> 0) AS ingest_first, max({_LINE_MARK}) FILTER (i % 5 <> 0) AS ingest_last, min({_LINE_MARK}) AS rebuilt_first, max({_LINE_MARK}) AS rebuilt_last FROM ({_LINES}) GROUP BY work")

@@ -56,25 +56,41 @@ def parse(raw: bytes):
     return paragraphs, tables
 
 
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
+    return paragraphs_of(files_of(spark, path))
+
+
+def paragraphs_of(files: DataFrame) -> DataFrame:
+    """(path, pos, text, style) of files (path, content); blank paragraphs are left out."""
+
     def run(frames):
         for f in frames:
             for p, c in zip(f.path, f.content):
                 rows = parse(bytes(c))[0]
                 yield pd.DataFrame({"path": [p] * len(rows), "pos": range(len(rows)), "text": [r[0] for r in rows], "style": [r[1] for r in rows]})
 
-    df = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schemas.PARAGRAPHS)
+    df = files.mapInPandas(run, schemas.PARAGRAPHS)
     return df.withColumn("text", T.collapse(F.col("text"))).withColumn("style", F.trim("style")).where("text != ''")
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
+    return tables_of(files_of(spark, path))
+
+
+def tables_of(files: DataFrame) -> DataFrame:
+    """(path, t, rows) of files (path, content); empty tables are left out."""
+
     def run(frames):
         for f in frames:
             for p, c in zip(f.path, f.content):
                 for t, rows in enumerate(parse(bytes(c))[1]):
                     yield pd.DataFrame({"path": [p], "t": [t], "rows": [[r for r in rows if any(r)]]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schemas.TABLES).where(F.size("rows") > 0)
+    return files.mapInPandas(run, schemas.TABLES).where(F.size("rows") > 0)
 
 
 def source_units(paragraphs: DataFrame, key: str = "path") -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql.types import StringType
 
 from lectern.functions import text as T
 
+#: Bibliography of works that no registry has (fixed values); their titles are their ids.
+UNREGISTERED = {
+    "author_cn": "", "author_ko": "미상", "dynasty": "", "canon": "서지 미기재", "canon_label": "미분류", "canon_id": "Z", "canon_vol": 999, "canon_no": 999,
+    "canon_ko": "", "collection": "미분류", "verify": True,
+}
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "utf-16")
 
 
@@ -28,7 +33,12 @@ def sniffed(content: pd.Series) -> pd.Series:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", sniffed("content").alias("text"))
+    return decoded(spark.read.format("binaryFile").load(path))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """(path, text) of files (path, content)."""
+    return files.select("path", sniffed("content").alias("text"))
 
 
 def segment(df: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -51,5 +61,5 @@ def discover(folders: DataFrame, registry: DataFrame) -> DataFrame:
     """Entries with default bibliography for folders (id, names) that aren't registered but hold a source or a
     translation under its exact name."""
     new = folders.join(registry.select("id"), "id", "left_anti").where(F.arrays_overlap("names", F.array(F.lit("원문.txt"), F.lit("번역.docx"))))
-    default = {"title_cn": F.col("id"), "title_ko": F.col("id"), "canon_id": F.lit("ZW"), "canon_vol": F.lit(999), "canon_no": F.lit(999), "verify": F.lit(True)}
-    return new.select("id", *[v.alias(k) for k, v in default.items()], F.array().cast("array<string>").alias("tags"))
+    named = [F.col("id").alias("title_cn"), F.col("id").alias("title_ko")]
+    return new.select("id", *named, *[F.lit(v).alias(k) for k, v in UNREGISTERED.items()], F.array().cast("array<string>").alias("tags"))

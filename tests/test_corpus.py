@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import build
 from lectern.functions import text as T
 from lectern.operators import align, assemble, reader, search, sections, stats
 from lectern.plans import corpus
@@ -213,3 +214,51 @@ def test_stats_rights_and_scan(spark, tmp_path):
     (tmp_path / "none.json").write_text('{"meta":{"id":"n"}}')
     good, skipped = works.scan(spark, str(tmp_path / "*.json"))
     assert [x.work for x in works.units_of(good).collect()] == ["g"] and sorted(x.reason for x in skipped.collect()) == ["malformed", "no units"]
+
+
+def test_build_and_rebuild(spark, tmp_path):
+    """Works of each layout, end to end; then the catalogue from the written documents alone."""
+    import json
+
+    src = tmp_path / "sources"
+    for w in ("general", "table", "alone", "bare"):
+        (src / w).mkdir(parents=True)
+    (src / "general" / "원문-1.txt").write_text("[0001a01]大乘起信論\n\n[0001a02]如是我聞一時[0001a03]佛在", encoding="utf-8")
+    (src / "general" / "원문-2.docx").write_bytes(word_file([("[0009a01]舍衛國祇樹",)]))
+    (src / "general" / "번역.docx").write_bytes(word_file([("해제입니다",), ("제1장", "H1"), ("[0001a01]大乘起信論",), ("번역 하나",), ("[0001a02]如是我聞一時",), ("번역 둘",)], [[["원어", "번역어", "비고"], ["佛", "부처", "n"]]]))
+    (src / "table" / "번역.docx").write_bytes(word_file([("앞",)], [[["위치표지", "원문", "번역"], ["[0001a01]", "某經卷第一", "번역"], ["[0001a02]", "佛", ""]]]))
+    (src / "alone" / "원문.txt").write_text("\n\n".join(f"[{1000 + k}a01]大乘{chr(0x4E00 + 9 * k)}" for k in range(20)), encoding="utf-16")
+    (src / "alone" / "번역.docx").write_bytes(word_file([("서문",)] + [x for k in range(20) for x in ((f"[{1000 + k}a01]",), (f"번역 {k}",))] + [("부록", "H1")]))
+    (src / "bare" / "other.txt").write_text("x", encoding="utf-8")
+    reg = spark.createDataFrame([("general", "G", "가", "T", 3, 5, ["t"], False, "CBETA"), ("alone", "A", None, "X", 1, 1, None, None, "Y"), ("nothing", "N", None, "T", 1, 1, None, True, None)], "id string, title_cn string, title_ko string, canon_id string, canon_vol int, canon_no int, tags array<string>, verify boolean, source string")
+    rights = spark.createDataFrame([("CBETA", True), ("Y", None)], "source string, ok boolean")
+    out = str(tmp_path / "out")
+    b = build.build(spark, str(src), reg, rights, out)
+    u = {(r.work, r.i): r for r in b["units"].collect()}
+    assert [(u["general", k].m, u["general", k].cn, u["general", k].ko) for k in range(1, 5)] == [("0001a01", ["[0001a01]大乘起信論"], ["하나"]), ("0001a02", ["[0001a02]如是我聞一時"], ["둘"]), ("0001a03", ["[0001a03]佛在"], []), ("0009a01", ["[0009a01]舍衛國祇樹"], [])]
+    assert [u["alone", k].ko for k in (1, 20)] == [["번역 0"], ["번역 19"]] and len(u) == 4 + 2 + 20
+    assert {(r.work, r.i, r.t) for r in b["sections"].collect()} == {("general", 0, "제1장"), ("table", 0, "某經卷第一")}
+    w = {r.id: r for r in b["works"].collect()}
+    assert set(w) == {"general", "table", "alone", "nothing"}
+    g = w["general"]
+    assert (g.units, g.translated, g.chars_cn, g.chars_ko, g.coverage, g.range, g.has_source, g.has_translation, g.chapters) == (4, 2, 18, 3, 0.6111, ["0001a01", "0009a01"], True, True, 0)
+    assert (w["table"].has_source, w["table"].canon_id, w["table"].verify, w["nothing"].units, w["nothing"].range) == (False, "Z", True, 0, None)
+    assert {r.source: r.ids for r in b["flagged"].collect()} == {"Y": ["alone"]}
+    assert b["totals"].first().asDict() == {"works": 4, "units": 26, "translated": 23, "chars_cn": 18 + 6 + 60}
+    assert build.summary(b["totals"]).first().line == "4종 · 26단위 · 원문 84자" and "61.1%" in {r.id: r.line for r in b["report"].collect()}["general"]
+    (m,) = spark.read.text(f"{out}/manifest").collect()
+    m = json.loads(m.value)
+    assert [x["id"] for x in m["works"]] == ["nothing", "general", "alone", "table"] and m["totals"]["units"] == 26 and "biblio_extracted" not in m["works"][0]
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for r in spark.read.text(f"{out}/works").collect():
+        (docs / f"{r.work}.json").write_text(r.value, encoding="utf-8")
+    d = json.loads((docs / "general.json").read_text(encoding="utf-8"))
+    assert d["glossary"] == [{"cn": "佛", "ko": "부처", "note": "n"}] and d["front"] == ["해제입니다"] and d["sections"] == [{"lv": 1, "t": "제1장", "i": 0}] and d["units"][2]["m"] == "0001a03"
+    (docs / "bad.json").write_text("{")
+    r = build.rebuild(spark, str(docs), reg)
+    got = {x.id: x for x in r["works"].collect()}
+    assert [x.reason for x in r["skipped"].collect()] == ["malformed"]
+    assert {k: (v.units, v.chars_cn, v.coverage, v.range) for k, v in got.items()} == {k: (v.units, v.chars_cn, v.coverage, v.range) for k, v in w.items()}
+    assert [x.id for x in sorted(got.values(), key=lambda x: x.ord)] == ["nothing", "general", "alone", "table"] and "canon_full" not in r["works"].columns
