@@ -8,8 +8,8 @@ the groups are exactly the repeated windows, and the smallest doc_id of each dec
 
 Documents are worked on in chunks (of one input task). A chunk sends each distinct context once, with its smallest
 doc_id, so a passage that a third of the corpus holds is as many rows as there are chunks. An anchor of many
-occurrences, whose contexts can all differ, is split by a further digit: its windows are dealt out one by one by what
-they hold, so no task gets all that surrounds a common phrase. Texts are never shuffled: they are written once,
+occurrences, whose contexts can all differ, is split by a further digit: its windows are dealt out by their second
+smallest hash as well, so no task gets all that surrounds a common phrase. Texts are never shuffled: they are written once,
 bucketed by chunk, and what comes back is sent to the chunk.
 """
 
@@ -28,8 +28,9 @@ from lectern.llm.common import scratch_path, written
 DEPTH, PIECE = 50, 16
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 6 << 20
-#: Occurrences of an anchor beyond which its windows are dealt out one by one.
-HOT = 1000
+#: Occurrences of an anchor beyond which its windows are dealt out by a second one, too. A task that sorts so many
+#: contexts holds some 40 MB of places.
+HOT = 20_000
 #: Files that the texts are written to at most (several chunks share one), and input bytes of a chunk, about.
 MOST_FILES, CHUNK_BYTES = 50_000, 32 << 20
 BLOCK = 1 << 20
@@ -131,14 +132,27 @@ def _right(right: pa.Table):
     return joined(shared), set(joined(hot).tolist()), back
 
 
+def _parted(body: bytes, first: int, depth: int) -> list[tuple[int, int, int]]:
+    """(first start, last start, second anchor) of runs of a context's windows: the second is the smallest piece hash
+    of a window but the first anchor's, so it, too, is a function of the window alone."""
+    piece = min(PIECE, depth)
+    buf = np.frombuffer(body, dtype=np.uint8)
+    pw, inv = textvec.powers(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, dtype=_U)
+    np.cumsum(_VALUES[buf] * pw[: len(buf)], out=total[1:])
+    h = textvec.mix((total[piece:] - total[:-piece]) * inv[: len(buf) - piece + 1]) & _HASH
+    h[h == _U(first)] = _HASH  # none is larger
+    second = np.lib.stride_tricks.sliding_window_view(h, depth - piece + 1).min(axis=1)
+    cut = [0, *(np.flatnonzero(second[1:] != second[:-1]) + 1).tolist(), len(second)]
+    return [(i, j - 1, int(second[i])) for i, j in zip(cut, cut[1:])]
+
+
 def _contexts(ids, texts, skip, shared, hot, depth: int, buckets: int):
     """Distinct contexts around shared anchors, by bucket, and each run's place there.
 
-    Returns {bucket: list of (context, anchor offset, smallest id)} and [(document, first start, bucket, index)]. Of
-    hot anchors each window is a context of its own, in a bucket that its bytes name.
+    Returns {bucket: list of (context, anchor offset, smallest id)} and [(document, first start, bucket, index)]. A
+    run around a hot anchor is parted by a second one, in buckets that both name.
     """
-    import xxhash
-
     table, known, runs = {}, {}, []
 
     def add(key, b, doc, start):
@@ -156,9 +170,9 @@ def _contexts(ids, texts, skip, shared, hot, depth: int, buckets: int):
         bucket = (textvec.mix(h[hit]) % _U(buckets)).astype(np.int64).tolist()
         for d, a, z, p, b, x in zip(doc[hit].tolist(), s0[hit].tolist(), s1[hit].tolist(), place[hit].tolist(), bucket, h[hit].tolist()):
             if x in hot:
-                for s in range(a, z + 1):
-                    window = block[d][s : s + depth]
-                    add((window, -1), xxhash.xxh3_64_intdigest(window) % buckets, where[d], s)
+                body = block[d][a : z + depth]
+                for i, j, second in _parted(body, x, depth):
+                    add((body[i : j + depth], -1), int(textvec.mix(np.asarray([x ^ ((second << 16) & 0xFFFFFFFFFFFFFFFF)], dtype=_U))[0] % _U(buckets)), where[d], a + i)
             else:
                 add((block[d][a : z + depth], p - a), b, where[d], a)
     return table, runs
