@@ -50,7 +50,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: SQL has no conditional random field, banded alignment or byte-pair merges; tests/llm compares with brute force.
+#: SQL has no conditional random field, banded alignment or byte-pair merges; tests/llm compares each stage's operator with brute force.
 ORACLE_SQL = None
 
 
