@@ -143,6 +143,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     breaks = F.split(F.translate(original, UPPER, LOWER), WORD, -1)
     s = s.select("doc", "runs", "found", F.when(some, texts).alias("words"), F.when(some, breaks).alias("breaks"))
     text = F.when(some, _without(F.col("words"), F.col("breaks"), F.col("runs"))).otherwise(original)
-    s = s.select("doc", text.alias("text"))
-    out = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(documents.schema["n_chars"].dataType)} if "n_chars" in cols else {})
+    s = s.select("doc", some.alias("some"), text.alias("text"))
+    out = {"text": F.col("text")}
+    if "n_chars" in cols:
+        out["n_chars"] = F.when(F.col("some"), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
     return s.select(*[out.get(c, F.col("doc").getField(c)).alias(c) for c in cols])

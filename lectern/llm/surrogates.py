@@ -246,5 +246,7 @@ def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
     text = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("made", i), F.lit("")))), "")
     kinds = F.when(some, F.filter(F.transform("found", lambda v: v["kind"]), lambda k: k != "number")).otherwise(F.array().cast("array<string>"))
     df = df.select("doc", F.when(some, text).otherwise(F.col("doc.text")).alias("text"), kinds.alias("kinds"))
-    swapped = {"text": F.col("text")} | ({"n_chars": F.coalesce(F.length("text"), F.lit(0)).cast(documents.schema["n_chars"].dataType)} if "n_chars" in cols else {})
+    swapped = {"text": F.col("text")}
+    if "n_chars" in cols:
+        swapped["n_chars"] = F.when(F.size("kinds") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
     return df.select(*[swapped.get(c, F.col("doc").getField(c)).alias(c) for c in cols], F.col("kinds").alias("entity_kinds"), F.size("kinds").cast("long").alias("n_entities"))
