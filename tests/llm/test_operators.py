@@ -522,6 +522,66 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(frame(spark, []), "key").count() == 0
 
 
+def test_surrogates_by_a_plain_reading(spark, sf):
+    """Every text read anew, entity by entity: what lies between stays, an entity's parts map one to one over all texts
+    to parts of the same kind and form, and none of these is an original of another text."""
+    import regex
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(10**6 + i, t) for i, t in PII]
+    after = collections.defaultdict(set)
+    for r in surrogates.pseudonymise(frame(spark, rows), "a key").collect():
+        after[r.doc_id].add(r.text)
+    luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10
+    digits = lambda v: regex.sub("[^0-9]", "", v)
+
+    def kind(v):
+        k = next((k for k, p in surrogates.PATTERNS.items() if k != "name" and regex.fullmatch(p, v)), "name")
+        return "number" if k == "card" and luhn(digits(v)) else k
+
+    def parts(k, v):
+        if k == "name":
+            *given, last = v.split(" ")[1:]
+            sex = next((s for s, ts in (("f", surrogates.FEMALE), ("m", surrogates.MALE)) if v.split(" ")[0].rstrip(".") in ts), "n")
+            return [(f"given {sex}", w.lower()) for w in given] + [("surname", last.lower())]
+        return [(k, {"email": v.lower(), "iban": v.replace(" ", ""), "phone": digits(v)[-10:], "card": digits(v), "ssn": digits(v)}.get(k, v))]
+
+    made, found = collections.defaultdict(set), 0
+    for i, t in rows:
+        if not t:
+            continue
+        gaps, kinds, at = [], [], 0
+        for m in regex.finditer(surrogates.ANY, t) if regex.search(surrogates.QUICK, t) else ():
+            k = kind(m[0])
+            if k != "number":
+                gaps.append(t[at : m.start()])
+                kinds.append((k, m[0]))
+                at = m.end()
+        gaps.append(t[at:])
+        if len({x for j, x in rows if j == i}) > 1:
+            continue
+        (text,) = after[i]
+        pos, got = len(gaps[0]), []
+        assert text.startswith(gaps[0]) and (kinds or t == text)
+        for n, (k, _) in enumerate(kinds):
+            last = n == len(kinds) - 1
+            ends = [len(text) - len(gaps[-1])] if last else range(pos + 1, pos + 120)
+            end = next((e for e in ends if text.startswith(gaps[n + 1], e) and regex.fullmatch(surrogates.PATTERNS[k], text[pos:e])), None)
+            assert end, (i, kinds[n], text[pos : pos + 60])
+            got.append(text[pos:end])
+            pos = end + len(gaps[n + 1])
+        assert pos == len(text)
+        for (k, v), w in zip(kinds, got):
+            found += 1
+            assert v != w and (k not in ("iban", "card", "ssn") or regex.sub("[0-9A-Z]", "x", v) == regex.sub("[0-9A-Z]", "x", w))
+            assert k != "card" or luhn(digits(w)) == 0
+            for p, q in zip(parts(k, v), parts(k, w), strict=True):
+                made[p].add(q)
+    assert found > 20 and all(len(q) == 1 for q in made.values())
+    space = lambda k: "name" if k.startswith(("given", "surname")) else k
+    ends = [(space(k), v) for q in made.values() for k, v in q]
+    assert len(set(ends)) == len(made) and not {(space(k), v) for k, v in made} & set(ends)
+
+
 def test_surrogates_in_rows_of_numbers(spark):
     ssns, phones = ("234-56-7890", "123-45-6789"), ("415-555-2671", "415-555-2672")
     rows = ["Call 415-555-2671 2024", "415-555-2671 415-555-2672", "234-56-7890 123-45-6789", "2024 415-555-2671", "2 415-555-2671 20 31", "5 234-56-7890 2024", "3 234-56-7890 415-555-2672 4111 1111 1111 1111", "4111 1111 1111 1111 415-555-2671"]
