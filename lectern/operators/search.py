@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lectern import schemas
 from lectern.functions import text as T
 
 #: Needles up to which each is sought in every text; beyond, windows of the texts meet the needles by equality.
@@ -94,8 +95,9 @@ def spotlight(units: DataFrame, query: str, where: str) -> DataFrame:
     """units with cn_marks and ko_marks: ranges of the query on the side of the hit; where that has none, on both.
     Compared as highlighting does: paragraphs apart, punctuation dropped on both sides."""
     row = units.sparkSession.createDataFrame([(query,)], "q string").select(T.norm_highlight(F.col("q"), "cn"), T.norm_highlight(F.col("q"), "ko")).first()
-    u = units.withColumn("_c", T.find_ranges(F.array_join("cn", "\n"), F.lit(row[0]), "cn")).withColumn("_k", T.find_ranges(F.array_join("ko", "\n"), F.lit(row[1]), "ko"))
-    own = F.size("_c") if where == "cn" else F.size("_k")
+    c, k = schemas.unused(units, "_c"), schemas.unused(units, "_k")
+    u = units.withColumn(c, T.find_ranges(F.array_join("cn", "\n"), F.lit(row[0]), "cn")).withColumn(k, T.find_ranges(F.array_join("ko", "\n"), F.lit(row[1]), "ko"))
+    own = F.size(c) if where == "cn" else F.size(k)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    show = lambda side, c: F.when((own == 0) | F.lit(where == side), F.col(c)).otherwise(none)
-    return u.withColumn("cn_marks", show("cn", "_c")).withColumn("ko_marks", show("ko", "_k")).drop("_c", "_k")
+    show = lambda side, x: F.when((own == 0) | F.lit(where == side), F.col(x)).otherwise(none)
+    return u.withColumn("cn_marks", show("cn", c)).withColumn("ko_marks", show("ko", k)).drop(c, k)

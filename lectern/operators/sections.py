@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lectern import schemas
 from lectern.functions import text as T
 
 LEAST_UNITS, CHAPTERS, UNITS_EACH = 60, (2, 40), 3
@@ -60,12 +61,20 @@ def _without_tail(cuts, end, least: int):
     return F.when((F.size(cuts) > 0) & (end - F.element_at(cuts, -1) < least), F.slice(cuts, F.lit(1), F.greatest(F.size(cuts) - 1, F.lit(0)))).otherwise(cuts)
 
 
+def _within(units: DataFrame, ranges: DataFrame) -> DataFrame:
+    """units (work, at, ...) with the range (start, end) that each lies in, once for each of several. A work's ranges,
+    few, go to its units as one array, so that units aren't multiplied by ranges first."""
+    r = ranges.groupBy("work").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("_ranges"))
+    u = units.join(r, "work")
+    u = u.withColumn("_r", F.explode(F.filter("_ranges", lambda x: (F.col("at") >= x["start"]) & (F.col("at") < x["end"]))))
+    return u.select(*units.columns, "_r.start", "_r.end")
+
+
 def page_cuts(units: DataFrame, ranges: DataFrame, target: int = PAGE_TARGET) -> DataFrame:
     """(work, start, end, cuts) for ranges (work, start, end) of units (i from 1): places where the page changes, each
     at least `target` units after the last; a short tail is left with what comes before."""
     u = units.select("work", (F.col("i") - 1).cast("int").alias("at"), "m").where("m is not null")
-    r = ranges.select("work", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-    u = u.join(r, "work").where("at >= start and at < end").withColumn("page", T.page_of(F.col("m")))
+    u = _within(u, ranges).withColumn("page", T.page_of(F.col("m")))
     w = W.partitionBy("work", "start", "end").orderBy("at")
     breaks = u.withColumn("prev", F.lag("page").over(w)).where("prev is not null and prev != page")
     g = breaks.groupBy("work", "start", "end").agg(F.array_sort(F.collect_list("at")).alias("b"))
@@ -91,7 +100,7 @@ def char_cuts(units: DataFrame, target: int = CHAR_TARGET) -> DataFrame:
 def range_labels(units: DataFrame, ranges: DataFrame) -> DataFrame:
     """(work, start, end, label): first and last marker of each range; one marker alone; else the units' numbers."""
     u = units.select("work", (F.col("i") - 1).alias("at"), "m")
-    g = ranges.join(u, "work").where("at >= start and at < end").groupBy("work", "start", "end")
+    g = _within(u, ranges).groupBy("work", "start", "end")
     g = g.agg(F.count("m").alias("n"), F.min_by("m", F.when(F.col("m").isNotNull(), F.col("at"))).alias("a"), F.max_by("m", F.when(F.col("m").isNotNull(), F.col("at"))).alias("z"))
     label = F.when(F.col("n") == 0, F.concat((F.col("start") + 1).cast("string"), F.lit("–"), F.col("end").cast("string"), F.lit("단위"))).when(F.col("n") == 1, F.col("a")).otherwise(F.concat("a", F.lit("–"), "z"))
     return g.select("work", "start", "end", label.alias("label"))
@@ -133,10 +142,11 @@ def subdivide(units: DataFrame, chapters_: DataFrame, sizes: DataFrame, limit: i
 def assign(units: DataFrame, chapters_: DataFrame) -> DataFrame:
     """units with c: the number (from 0) of the last chapter at or before the unit (backward as-of). A work's chapter
     starts, few, go to its units as one array: an equi-join, of which a hot work's side can be split."""
-    starts = chapters_.groupBy("work").agg(F.sort_array(F.collect_list("i")).alias("_starts"))
+    name = schemas.unused(units, "_starts")
+    starts = chapters_.groupBy("work").agg(F.sort_array(F.collect_list("i")).alias(name))
     u = units.drop("c").join(starts, "work", "left")
-    n = F.size(F.filter("_starts", lambda s: s < F.col("i")))
-    return u.withColumn("c", F.when(n > 0, n - 1)).drop("_starts")
+    n = F.size(F.filter(name, lambda s: s < F.col("i")))
+    return u.withColumn("c", F.when(n > 0, n - 1)).drop(name)
 
 
 def chapter_sizes(chapters_: DataFrame, sizes: DataFrame) -> DataFrame:

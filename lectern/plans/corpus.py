@@ -123,9 +123,15 @@ def marked_html(spark, sf_dir):
     return d.select("doc_id", T.mark_ranges(F.col("text"), T.find_ranges(F.col("text"), F.lit("tion"), "ko")).alias("html"))
 
 
-@query(f"SELECT s, translate(s, '{T.FOLD_FROM}', '{T.FOLD_TO}') AS folded FROM (VALUES ('衆生无与体'), ('観观觉'), ('abc'), ('淨净凈')) t(s)")
+_FOLDS = f"SELECT doc_id, lang || substr('{T.FOLD_FROM}', doc_id % {len(T.FOLD_FROM)} + 1, 2) || lang AS s FROM documents"
+
+
+@query(f"SELECT doc_id, translate(s, '{T.FOLD_FROM}', '{T.FOLD_TO}') AS search, translate(s, '{T.FOLD_FROM[:-1]}', '{T.FOLD_TO[:-1]}') AS aligned FROM ({_FOLDS})")
 def fold_translate(spark, sf_dir):
-    return spark.createDataFrame([("衆生无与体",), ("観观觉",), ("abc",), ("淨净凈",)], "s string").select("s", T.fold(F.col("s")).alias("folded"))
+    """Every variant character in turn, as search and as alignment fold it."""
+    at = (F.col("doc_id") % len(T.FOLD_FROM) + 1).cast("int")
+    s = F.concat("lang", F.substring(F.lit(T.FOLD_FROM), at, F.lit(2)), "lang")
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold(s).alias("search"), T.fold(s, False).alias("aligned"))
 
 
 @query(f"SELECT doc_id, {_FOLDED} AS norm FROM documents")
@@ -138,18 +144,6 @@ def script_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.hangul_ratio(F.col("text")).alias("ratio"), T.is_source_line(F.col("text")).alias("source_like"))
 
 
-_VALUES = [("문단 3 주", 1), ("한국어 번역", 2), ("[0123a04] 본문", 3), ("A. 편집 안내", 4), ("제1장 서론", 5), ("12. 항목", 6), ("부록", 7)]
-
-
-@query(
-    "SELECT id, s, CASE WHEN regexp_matches(trim(s), '(?:^|\\s)(?:주|주석|각주|교감)$') THEN 'note' WHEN trim(s) IN ('원문','원문 목차','한국어 목차','한국어 직역','한국어 번역','번역','직역') THEN 'label' "
-    "WHEN regexp_matches(trim(s), '^(?:문단\\s*\\d+|\\d{2,4}\\.\\s|권두\\s*표제|\\[\\d{3,4}[abc]\\d{2}\\])') THEN 'unit' WHEN regexp_matches(trim(s), '^[A-Z]\\.\\s|편집|안내|부록') THEN 'apparatus' ELSE 'structure' END AS kind "
-    "FROM (VALUES " + ", ".join(f"({i}, '{s}')" for s, i in _VALUES) + ") t(id, s)"
-)
-def heading_classify(spark, sf_dir):
-    return spark.createDataFrame([(i, s) for s, i in _VALUES], "id int, s string").select("id", "s", T.classify_head(F.col("s")).alias("kind"))
-
-
 def _marked(text):
     """A text whose lines carry made-up markers."""
     lines = F.split(text, "\n")
@@ -169,12 +163,6 @@ def split_units(spark, sf_dir):
     return u.select("doc_id", F.col("i").cast("long").alias("i"), "m", F.length("cn").cast("long").alias("n"))
 
 
-@query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events")
-def carry_forward(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("carried"))
-
-
 _KINDS = "CASE event_type WHEN 'view' THEN 'cn' WHEN 'click' THEN 'ko' WHEN 'purchase' THEN 'structure' ELSE 'note' END"
 
 
@@ -225,11 +213,6 @@ def passage_locate(spark, sf_dir):
     return found.select(F.col("id").alias("item_id"), F.col("key").alias("doc_id"), "at")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def anti_discover(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
-
-
 @query("SELECT c.c_custkey AS work, coalesce(c.c_mktsegment, 'none') AS segment, coalesce(n.n_name, '?') AS canon FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey")
 def overlay_left_join(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
@@ -278,7 +261,7 @@ def marker_range(spark, sf_dir):
 
 @query("SELECT l_orderkey, CAST(v AS DOUBLE) AS median FROM (SELECT l_orderkey, l_quantity AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE r = n // 2 + 1")
 def upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(stats.upper_median(F.col("l_quantity")).alias("median"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(stats.upper_median("l_quantity").alias("median"))
 
 
 @query("SELECT r_name AS work, CAST(row_number() OVER (ORDER BY CASE r_name WHEN 'T' THEN 0 ELSE 9 END, r_regionkey) AS BIGINT) AS place FROM region")
@@ -389,10 +372,10 @@ def routes(spark, sf_dir):
     return d.select("page_id", "r.view", "r.id", "r.anchor", F.col("r.params")["q"].alias("q"), F.col("r.params")["in"].alias("side"))
 
 
-@query("SELECT n_nationkey AS id, coalesce(n_regionkey <> lag(n_regionkey) OVER (ORDER BY n_nationkey), true) AS head FROM nation")
+@query("SELECT n_nationkey AS id, coalesce(n_regionkey <> lag(n_regionkey) OVER (ORDER BY n_nationkey), true) AS head, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE n_name || ',b' END AS tags FROM nation")
 def canon_groups(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("canon_id"), F.col("n_nationkey").alias("ord"), F.array("n_name").alias("tags"))
-    return reader.group_headers(n).select("id", "head")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("canon_id"), F.col("n_nationkey").alias("ord"), F.when(F.col("n_nationkey") % 2 == 0, F.array("n_name")).otherwise(F.array("n_name", F.lit("b"), F.lit("c"))).alias("tags"))
+    return reader.group_headers(n).select("id", "head", F.array_join("tags2", ",").alias("tags"))
 
 
 @query("SELECT conv_id AS work, turn AS i, arg_max(role, text) AS t FROM conversations WHERE turn % 3 <> 0 GROUP BY conv_id, turn")
@@ -446,18 +429,6 @@ def marker_coordinates(spark, sf_dir):
     return _lines(spark, sf_dir).select("work", "i", T.marker_parts(F.col("m")).alias("p")).select("work", "i", "p.page", F.col("p.column").alias("col"), "p.line")
 
 
-@query("SELECT * FROM (VALUES (1, 'cn', '大乘'), (2, 'ko', '부처'), (3, NULL, '大乘')) t(id, side, text)")
-def side_prefixes(spark, sf_dir):
-    d = spark.createDataFrame([(1, "원문  大乘"), (2, "번역 부처"), (3, "大乘")], "id int, s string")
-    return d.select("id", T.strip_side(F.col("s")).alias("x")).select("id", "x.side", "x.text")
-
-
-@query("SELECT * FROM (VALUES ('w', 0, '某經卷第一'), ('w', 1, '某經卷下')) t(work, i, t)")
-def volume_titles(spark, sf_dir):
-    u = spark.createDataFrame([("w", 1, ["某經卷第一"]), ("w", 2, ["某經卷第一", "某經卷下"])], "work string, i int, cn array<string>")
-    return sections.volume_lines(u).select("work", "i", "t")
-
-
 @query(
     f"WITH s AS (SELECT conv_id, turn, text, role, substr({_FOLDED}, 1, 14) AS key FROM conversations), "
     "a AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) AS r FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) AS r FROM s WHERE role = 'user'), "

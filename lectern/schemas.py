@@ -14,3 +14,11 @@ WORK = (
 )
 PARAGRAPHS = "path string, pos int, text string, style string"
 TABLES = "path string, t int, rows array<array<string>>"
+
+
+def unused(df, stem: str) -> str:
+    """A column name that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

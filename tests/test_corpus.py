@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern import build
 from lectern.functions import text as T
 from lectern.operators import align, assemble, reader, search, sections, stats
-from lectern.plans import corpus
+from lectern.plans import corpus, script  # noqa: F401
 from lectern.sources import docx, text as source_text, works
 
 
