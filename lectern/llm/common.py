@@ -46,10 +46,20 @@ def release(spark: SparkSession, keep=()) -> None:
         _made.remove(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage and survives lost executors.
+
+    rows: how many go to Python at a time, at most, while it is written; the session's own bound is put back after.
+    """
+    path, conf, key = scratch_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = conf.get(key)
+    try:
+        if rows and not 0 < int(held) <= rows:
+            conf.set(key, rows)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if conf.get(key) != held:
+            conf.set(key, held)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,6 +25,8 @@ WORDS, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 32, 5
 #: Texts of up to FEW k-mers meet by their rests, with certainty; below MEDIUM k-mers a text has twice the sketches,
 #: so that two at the threshold (8 of 10 k-mers at worst) are missed in 1 of 10 million.
 FEW, MEDIUM = 9, 100
+#: Rows with texts that go to Python at a time: both sides hold them, and the work is done in blocks of 1 MB anyway.
+BATCH = 500
 #: Members as near as this to their centre are compared by what sets them apart from it.
 NEAR = 0.5
 _U = np.uint64
@@ -258,7 +260,7 @@ def classes(documents: DataFrame, k: int = WORDS, least: float = SIMILARITY, ske
     from the start; doc_id is taken to name a document, so rows that repeat one count once in the search. Rows with
     a null doc_id get a null class. Extra columns are ignored.
     """
-    rows = written(sketch(documents, k, sketches, kept, least), "sketches")
+    rows = written(sketch(documents, k, sketches, kept, least), "sketches", BATCH)
     known = rows.where("doc_id is not null")
     exact = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_kmers").alias("n"), F.first("sketches").alias("sketches"), F.first("rests").alias("rests")), "distinct-texts")
     way = lambda h, j: F.struct(j.alias("j"), h.alias("h"))
@@ -270,7 +272,7 @@ def classes(documents: DataFrame, k: int = WORDS, least: float = SIMILARITY, ske
     company = bucket.groupBy("rep").agg(F.sum("many").alias("company"))
     centre = bucket.join(company, "rep").groupBy("j", "h").agg(F.max(F.struct("company", (-F.col("rep")).alias("low"))).alias("top"))
     bucket = written(bucket.join(centre.select("j", "h", (-F.col("top.low")).alias("c")), ["j", "h"]).select("j", "h", "rep", "n", "c"), "buckets")
-    star = written(compare(bucket.where("rep != c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct(), documents, k, least), "star")
+    star = written(compare(bucket.where("rep != c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct(), documents, k, least), "star", BATCH)
     links = star.where("linked").select("a", "b")
     root = written(components(links), "roots")
     # 2: a centre's members that are still apart. By way of the centre their common k-mers are counted without a look
@@ -292,7 +294,7 @@ def classes(documents: DataFrame, k: int = WORDS, least: float = SIMILARITY, ske
     apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.n") >= least * F.col("y.n")) & (F.col("y.n") >= least * F.col("x.n"))
     apart = apart & (F.abs(F.col("x.jaccard") - F.col("y.jaccard")) <= 1 - least + 1e-9) & (F.least("x.jaccard", "y.jaccard") < NEAR)
     far = x.join(y, (F.col("x.j") == F.col("y.j")) & (F.col("x.h") == F.col("y.h")) & apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    more = written(compare(written(varied.union(far).distinct(), "apart"), documents, k, least).where("linked").select("a", "b"), "links")
+    more = written(compare(written(varied.union(far).distinct(), "apart"), documents, k, least).where("linked").select("a", "b"), "links", BATCH)
     if not more.isEmpty():
         root = written(components(links.union(more)), "roots")
     member = known.select("doc_id", "d1", "d2").join(exact.select("d1", "d2", "rep"), ["d1", "d2"])

@@ -729,3 +729,23 @@ def test_radix_groups():
             groups[buf[k : k + depth].tobytes()].append(k)
         want = {k: min(owner[g]) for g in groups.values() if len(g) > 1 for k in g}
         assert dict(zip(live.tolist(), least.tolist())) == want
+
+
+def test_near_dedup_sends_few_rows_at_a_time(spark, monkeypatch):
+    """op1's texts go to Python in small batches; the session's own bound is as before."""
+    import pyarrow as pa
+
+    from lectern.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    key, made = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    held = spark.conf.get(key)
+    seen = common.written(spark.range(0, 2000, 1, 1).mapInArrow(sizes, "n long"), "sizes", near_dedup.BATCH).collect()
+    assert sum(r.n for r in seen) == 2000 and max(r.n for r in seen) <= near_dedup.BATCH
+    assert spark.conf.get(key) == held
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, rows=None: made.update({name: rows}) or common.written(df, name, rows))
+    near_dedup.classes(frame(spark, [(1, "a b c d e f g"), (2, "a b c d e f h")])).collect()
+    assert {made[n] for n in ("sketches", "star", "links")} == {near_dedup.BATCH}
